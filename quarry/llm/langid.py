@@ -16,10 +16,12 @@ table gives no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_rows, unit
@@ -123,24 +125,42 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     return fit_rows([r["lang"] for r in rows], np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1))
 
 
+def judge(texts: list[str | None], model: Model | None, scorer) -> tuple[list[str], list[float]]:
+    """Languages and scores of a batch: a score is the winner's share of the decisions' soft maximum."""
+    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if known:
+        made = scorer(np.stack([presence(texts[i]) for i in known]))
+        best = made.argmax(1)
+        sure = 1 / np.exp(4 * (made - made.max(1, keepdims=True))).sum(1)
+        for i, b, s in zip(known, best, sure, strict=True):
+            langs[i], scores[i] = model.languages[b], float(min(1.0, max(0.0, s)))
+    return langs, scores
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score of every whole text: score is the winner's share of the decisions' soft maximum."""
+    """doc_id, lang_pred, score of every whole text."""
 
     def start():
         scorer = model and model.scorer()
 
         def f(ids, texts):
-            known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
-            langs, scores = [UNKNOWN] * len(ids), [0.0] * len(ids)
-            if known:
-                made = scorer(np.stack([presence(texts[i]) for i in known]))
-                best = made.argmax(1)
-                odds = np.exp(4 * (made - made.max(1, keepdims=True)))
-                sure = 1 / odds.sum(1)
-                for i, b, s in zip(known, best, sure, strict=True):
-                    langs[i], scores[i] = model.languages[b], float(min(1.0, max(0.0, s)))
+            langs, scores = judge(texts, model, scorer)
             return {"doc_id": ids, "lang_pred": langs, "score": scores}
 
         return f
 
     return map_rows(docs, [F.col("doc_id").cast("long"), F.col("text")], "doc_id long, lang_pred string, score double", start, rows=256)
+
+
+def language_column(text: Column, model: Model | None) -> Column:
+    """The predicted language beside a document's other columns."""
+
+    @F.pandas_udf("string")
+    def languages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model and model.scorer()
+        for batch in batches:
+            texts = [t if isinstance(t, str) else None for t in batch]
+            yield pd.Series([x for at in range(0, len(texts), 256) for x in judge(texts[at : at + 256], model, scorer)[0]], dtype=object)
+
+    return languages(text)

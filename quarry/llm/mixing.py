@@ -53,23 +53,52 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return open_.select("source", "source_size", F.when(F.col("open"), final * F.col("weight")).otherwise(F.col("most")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each document; taken counts its words in the mix."""
-    sized = written(docs.select(F.col("doc_id").cast("long"), F.col("source"), size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key")), "sizes")
-    ranges = max(1, math.ceil(sized.count() / ROWS_PER_RANGE))
+def placed_rows(sized: DataFrame, n_rows: int) -> DataFrame:
+    """Adds range and of (the source, never null) to rows of source, size, key."""
+    ranges = max(1, math.ceil(n_rows / ROWS_PER_RANGE))
     unit = F.conv("key", 16, 10).cast("double") / F.lit(float(16**13))
-    placed = sized.withColumn("range", F.floor(unit * ranges).cast("int")).withColumn("of", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    sums = placed.groupBy("of", "source", "range").agg(F.sum("size").alias("range_size"))
+    return sized.withColumn("range", F.floor(unit * ranges).cast("int")).withColumn("of", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+
+
+def taken_of(rows: DataFrame, narrow: DataFrame, weights, share: float, most: int) -> DataFrame:
+    """rows (of, range, key, doc_id, size, ...) with source_size, target and taken; narrow has the same rows, for the sums."""
+    sums = narrow.groupBy("of", "source", "range").agg(F.sum("size").alias("range_size"))
     aims = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
     aims = aims.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of"), "source_size", "target")
     earlier = F.coalesce(F.sum("range_size").over(W.partitionBy("of").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select("of", "range", earlier.alias("offset")).join(aims, "of")
     inside = F.coalesce(F.sum("size").over(W.partitionBy("of", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = placed.join(offsets, ["of", "range"]).withColumn("start", F.col("offset") + inside)
+    rows = rows.join(offsets, ["of", "range"]).withColumn("start", F.col("offset") + inside)
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("start")))
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + rest).cast("long").alias("taken"))
+    return rows.withColumn("taken", (epochs * F.col("size") + rest).cast("long"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: int = 42) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each document; taken counts its words in the mix."""
+    sized = written(docs.select(F.col("doc_id").cast("long"), F.col("source"), size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key")), "sizes")
+    rows = placed_rows(sized, sized.count())
+    return taken_of(rows, rows, weights, share, most).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: int = 42) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time that a document is taken whole.
+
+    The one document a source at which the budget is cut comes with the words that are taken.
+    """
+    sized = docs.withColumns({"size": size_of(F.col("text")), "key": key_of(F.col("doc_id"), seed)})
+    narrow = written(sized.select(F.col("doc_id").cast("long"), "source", "size", "key"), "sizes")
+    n = narrow.count()
+    made = taken_of(placed_rows(sized, n), placed_rows(narrow, n), weights, share, most).filter("taken > 0")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") - whole * F.col("size")).cast("int")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
+    copies = F.concat(F.array_repeat(F.struct(F.col("text").alias("text"), F.lit(False).alias("cut")), whole), F.when(rest > 0, F.array(F.struct(cut.alias("text"), F.lit(True).alias("cut")))).otherwise(F.array().cast("array<struct<text:string,cut:boolean>>")))
+    out = made.withColumn("copy", F.explode(copies)).withColumn("text", F.col("copy.text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("copy.cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def oracle_sql(seed: int = 42) -> str:

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, fingerprint, langid, mixing, repetition, toxicity
-from quarry.llm.common import crc_mod, table
+from quarry.llm import bpe, chat, fingerprint, jaccard, langid, mixing, repetition, toxicity, urlfilter, warc
+from quarry.llm.common import crc_mod, scratch, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,17 +34,31 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_warc(warc.as_records(table(spark, sf_dir, "pages")), path)
+    return warc.read_back(spark, path)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(crc_mod("doc_id", 4) != 2))
     return langid.predict(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_chat_format, op4_mixing, op5_bpe, op7_language_id, op9_repetition)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_chat_format, op4_mixing, op5_bpe, op6_warc, op7_language_id, op8_url_filters, op9_repetition, op10_jaccard_join)}
 
 SQL = {
     "op3_chat_format": r"""
@@ -57,4 +71,9 @@ SQL = {
     SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
            regexp_full_match(roles, 's?(ua)+') AS valid FROM g""",
     "op4_mixing": mixing.oracle_sql(),
+    "op6_warc": """
+    WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM f""",
 }

@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_rows, unit, written
@@ -263,3 +265,15 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         return lambda ids, texts: {"doc_id": ids, "score": [scorer(t) for t in texts]}
 
     return map_rows(docs, [F.col("doc_id").cast("long"), F.col("text")], "doc_id long, score double", start)
+
+
+def score_column(text: Column, model: Model | None) -> Column:
+    """The score beside a document's other columns."""
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model.scorer() if model else lambda _: 0.0
+        for batch in batches:
+            yield pd.Series([scorer(t if isinstance(t, str) else None) for t in batch], dtype=float)
+
+    return scores(text)
