@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import map_rows, written
+from quarry.llm.common import discard, map_rows, written
 
 WORDS = 5
 #: Tokens counted at least so often come last, at most so many of them, the most frequent ones. Only speed depends on both.
@@ -86,82 +86,90 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def often(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that are found often, sorted, and how often about: what tasks see more than once is added up over all documents."""
-
-    out = StructType.fromDDL("token long, n long")
+def measured(docs: DataFrame, words: int) -> DataFrame:
+    """Rows of doc_id, set_id, n (a document's set; n is 0 without one), and rows of token, seen: how often a task has seen a token more than once, in different sets."""
+    out = StructType.fromDDL("doc_id long, set_id long, n long, token long, seen long")
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        seen: set[int] = set()
+        keys: set[int] = set()
         size = 0
 
         def counted() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], schema=schema)
+            found, n = found[n > 1].view(np.int64), n[n > 1].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64())] * 3 + [pa.array(found), pa.array(n)], schema=schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                for text in batch.slice(at, 512).column(0).to_pylist():
+                ids, texts = batch.slice(at, 512).columns
+                sets, sizes = [], []
+                for text in texts.to_pylist():
                     found = tokens(text, words)
-                    if len(found) and (key := set_id(found)) not in seen:
-                        seen.add(key)
+                    key = set_id(found) if len(found) else None
+                    sets.append(key)
+                    sizes.append(len(found))
+                    if key is not None and key not in keys:
+                        keys.add(key)
                         held.append(found)
                         size += len(found)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.int64()), pa.array(sizes, pa.int64())] + [pa.nulls(len(sets), pa.int64())] * 2, schema=schema)
                 if size > COUNTED:
                     yield counted()
-                    held, size, seen = [], 0, set()
+                    held, size = [], 0
+                    keys.clear()
         yield counted()
 
-    sums = docs.select("text").mapInArrow(run, out).groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, out)
+
+
+def often(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that are found often, sorted, and how often, about: the tasks' counts added up."""
+    sums = counts.groupBy("token").agg(F.sum("seen").alias("n")).filter(F.col("n") >= OFTEN)
     rows = sums.orderBy(F.desc("n"), "token").limit(MOST_OFTEN).toArrow()
     found, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(found)
     return found[order], n[order]
 
 
-def classes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
-    """doc_id, set_id, n, first: each document's set, and its first tokens in the order of all tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    def start():
-        late, counts = shared.value
+def postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
+    """token, at, set_id: each set's first tokens in the order of all; at is the set's size, then the token's position.
 
-        def f(ids, texts):
-            out = {"doc_id": ids, "set_id": [], "n": [], "first": []}
-            for text in texts:
-                found = tokens(text, words)
-                n = len(found)
-                out["n"].append(n)
-                out["set_id"].append(set_id(found) if n else None)
-                if n and len(late):
-                    at = np.minimum(np.searchsorted(late, found), len(late) - 1)
-                    rank = np.where(late[at] == found, counts[at], 0)
-                    if rank.any():
-                        found = found[np.lexsort((found, rank))]
-                out["first"].append(found[: prefix_size(n, percent)].tobytes() if n else None)
-            return out
-
-        return f
-
-    return map_rows(docs, [F.col("doc_id").cast("long"), F.col("text")], "doc_id long, set_id long, n long, first binary", start)
-
-
-def postings(sets: DataFrame) -> DataFrame:
-    """token, at, set_id from set_id, n, first: at is the set's size, then the token's position in it."""
+    A task passes equal sets on once, so that however many copies of a text there are, its tokens have a row a task.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
     out = StructType.fromDDL("token long, at long, set_id long")
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late, counts = shared.value
+        keys: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                ids, sizes, firsts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                lengths = np.array([len(x) // 8 for x in firsts])
-                place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts), np.int64)), pa.array((np.repeat(np.array(sizes, np.int64), lengths) << 32) + place), pa.array(np.repeat(np.array(ids, np.int64), lengths))], schema=schema)
-
-    return sets.select("set_id", "n", "first").mapInArrow(run, out)
+                firsts, sizes, ids = [], [], []
+                for text in batch.slice(at, 256).column(0).to_pylist():
+                    found = tokens(text, words)
+                    n = len(found)
+                    if not n or (key := set_id(found)) in keys:
+                        continue
+                    keys.add(key)
+                    if len(late):
+                        place = np.minimum(np.searchsorted(late, found), len(late) - 1)
+                        rank = np.where(late[place] == found, counts[place], 0)
+                        if rank.any():
+                            found = found[np.lexsort((found, rank))]
+                    firsts.append(found[: prefix_size(n, percent)])
+                    sizes.append(n)
+                    ids.append(key)
+                if len(keys) > 1_000_000:
+                    keys.clear()
+                if ids:
+                    lengths = np.array([len(x) for x in firsts])
+                    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array((np.repeat(np.array(sizes, np.int64), lengths) << 32) + place), pa.array(np.repeat(np.array(ids, np.int64), lengths))], schema=schema)
+
+    return docs.select("text").mapInArrow(run, out)
 
 
 def index_lists(rows: DataFrame, percent: int) -> DataFrame:
@@ -178,6 +186,8 @@ def index_lists(rows: DataFrame, percent: int) -> DataFrame:
             token, at, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if held is not None:
                 token, at, ids = np.r_[held[0], token], np.r_[held[1], at], np.r_[held[2], ids]
+            once = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])]  # tasks may each have passed on a set
+            token, at, ids = token[once], at[once], ids[once]
             band = np.floor(np.log(at >> 32) / band_base + 1e-9)
             new_list = np.r_[True, token[1:] != token[:-1]]
             new_block = new_list | np.r_[True, band[1:] != band[:-1]]
@@ -205,42 +215,63 @@ def may_link(a, b, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * left >= percent * (n + m))
 
 
-def fetched(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """set_id, tokens of the sets in ids (set_id), and maybe of some more: a map of bits, of fixed size, says which texts are needed."""
-    spark, low = docs.sparkSession, (1 << MAP_BITS) - 1
-    parts = ids.select(F.expr(f"bitmap_bucket_number(set_id & {low}L)").alias("part"), F.expr(f"bitmap_bit_position(set_id & {low}L)").alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
+def bit_map(values: DataFrame, column: str) -> np.ndarray:
+    """A map of bits, of fixed size, of a column's lowest bits: it says which values may be among them.
+
+    bitmap_bucket_number is 0 for 0 and 1 + (x - 1) / 32768 else, bitmap_bit_position is (x - 1) % 32768.
+    """
+    low = f"({column} & {(1 << MAP_BITS) - 1}L)"
+    parts = values.select(F.expr(f"bitmap_bucket_number({low})").alias("part"), F.expr(f"bitmap_bit_position({low})").alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
     bits = np.zeros((1 << MAP_BITS) // 8 + 8192, np.uint8)
     for r in parts:
-        at = (r["part"] - 1) * 4096 if r["part"] > 0 else 0
+        at = max(0, r["part"] - 1) * 4096
         piece = np.frombuffer(bytes(r["bits"]), np.uint8)
         bits[at : at + len(piece)] |= piece
-    shared = spark.sparkContext.broadcast(bits)
-    # bitmap_bucket_number is 0 for 0 and 1 + (x - 1) / 32768 else, bitmap_bit_position is (x - 1) % 32768
+    return bits
+
+
+def in_map(bits: np.ndarray, value: int) -> bool:
+    x = (value & ((1 << MAP_BITS) - 1)) - 1
+    return x < 0 or bool(bits[x >> 3] >> (x & 7) & 1)
+
+
+def fetched(docs: DataFrame, ids: DataFrame, known: DataFrame, words: int) -> DataFrame:
+    """set_id, tokens of the sets in ids (set_id), and maybe of some more; a few may come twice.
+
+    One document stands for each set. A map of bits of these documents' ids says which texts are
+    looked at, one of the sets' ids which of their sets are passed on; the rest of the texts stays where it is.
+    """
+    first = known.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(ids, "set_id")
+    first = written(first.select("set_id", F.xxhash64("doc_id").alias("slot")), "firsts")
+    shared = docs.sparkSession.sparkContext.broadcast((bit_map(first, "slot"), bit_map(first, "set_id")))
+    discard(first)
+
     def start():
-        wanted = shared.value
+        documents, sets = shared.value
+        keys: set[int] = set()
 
-        def f(texts):
+        def f(slots, texts):
             out: dict[str, list] = {"set_id": [], "tokens": []}
-            for text in texts:
-                found = tokens(text, words)
-                if not len(found):
+            for slot, text in zip(slots, texts, strict=True):
+                if not in_map(documents, slot) or not len(found := tokens(text, words)):
                     continue
-                key = set_id(found)
-                x = (key & low) - 1
-                if x < 0 or wanted[x >> 3] >> (x & 7) & 1:
+                if (key := set_id(found)) not in keys and in_map(sets, key):
+                    keys.add(key)
                     out["set_id"].append(key)
                     out["tokens"].append(found.tobytes())
+            if len(keys) > 1_000_000:
+                keys.clear()
             return out
 
         return f
 
-    return map_rows(docs, [F.col("text")], "set_id long, tokens binary", start).dropDuplicates(["set_id"])
+    return map_rows(docs, [F.xxhash64(F.col("doc_id").cast("long")), F.col("text")], "set_id long, tokens binary", start)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets do link."""
+def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets do link, as a written table."""
     ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    sets = written(fetched(docs, ids, words), "sets")
+    sets = written(fetched(docs, ids, known, words), "sets")
     both = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
 
     def start():
@@ -254,7 +285,9 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
         return f
 
-    return map_rows(both, ["a", "b", "x", "y"], "a long, b long", start)
+    out = written(map_rows(both, ["a", "b", "x", "y"], "a long, b long", start), "verified")
+    discard(sets)
+    return out
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -272,34 +305,43 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """set_id, label of the sets that link with another one. sets: set_id, n, first, a row each."""
-    lists = written(index_lists(postings(sets), percent), "lists")
-    stars = written(lists.filter((F.col("set_id") != F.col("leader")) & may_link(F.col("at"), F.col("leader_at"), percent)).select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct(), "stars")
-    links = written(verified(stars, docs, words, percent), "links")
+#: Labels of so many sets are broadcast at most (16 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def linked_sets(docs: DataFrame, known: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
+    """set_id, label of the sets that link with another one."""
+    lists = written(index_lists(postings(docs, common, words, percent), percent), "lists")
+    # each set is held against the leader that it shares most lists with
+    led = lists.filter((F.col("set_id") != F.col("leader")) & may_link(F.col("at"), F.col("leader_at"), percent)).groupBy("set_id", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = led.groupBy("set_id").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
+    stars = written(best.select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct(), "stars")
+    links = verified(stars, docs, known, words, percent)
     labels = connected(links)
-    rows = lists.select("token", "at", "set_id").join(labels, "set_id", "left").select("token", "at", "set_id", F.coalesce("label", "set_id").alias("label"))
-    rows = written(rows, "labelled")
-    most = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    strays = rows.join(most, "token").filter("label != most").select("token", F.col("at").alias("at_s"), F.col("set_id").alias("s"), F.col("label").alias("label_s"))
-    open_ = rows.join(strays, "token").filter((F.col("label") != F.col("label_s")) & may_link(F.col("at"), F.col("at_s"), percent)).select(F.least("s", "set_id").alias("a"), F.greatest("s", "set_id").alias("b")).distinct()
+    small = labels if labels.count() > BROADCAST_ROWS else F.broadcast(labels)
+    rows = lists.select("token", "at", "set_id").join(small, "set_id", "left").select("token", "at", "set_id", F.coalesce("label", "set_id").alias("label"))
+    most = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token", "most")
+    mixed = written(rows.join(most, "token"), "mixed-lists")
+    strays = mixed.filter("label != most").select("token", F.col("at").alias("at_s"), F.col("set_id").alias("s"), F.col("label").alias("label_s"))
+    open_ = mixed.join(strays, "token").filter((F.col("label") != F.col("label_s")) & may_link(F.col("at"), F.col("at_s"), percent)).select(F.least("s", "set_id").alias("a"), F.greatest("s", "set_id").alias("b")).distinct()
     rest = written(open_.join(stars, ["a", "b"], "left_anti"), "rest")
+    discard(lists, mixed)
     if rest.isEmpty():
         return labels
-    return connected(links.unionByName(written(verified(rest, docs, words, percent), "links")))
+    return connected(links.unionByName(verified(rest, docs, known, words, percent)))
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id of each document."""
-    known = written(classes(docs, often(docs, words), words, percent), "classes")
-    sets = known.filter("n > 0").groupBy("set_id").agg(F.min("n").alias("n"), F.min("first").alias("first"))
-    labels = linked_sets(docs, sets, words, percent)
+    rows = written(measured(docs, words), "measured")
+    known = rows.filter("n is not null").select("doc_id", "set_id", "n")
+    labels = linked_sets(docs, known, often(rows.filter("token is not null")), words, percent)
     lowest = known.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
     groups = lowest.join(labels, "set_id", "left").filter("rows > 1 or label is not null").withColumn("label", F.coalesce("label", "set_id"))
     lows = groups.groupBy("label").agg(F.min("low").alias("component_id"))
     named = groups.select("set_id", "label").join(lows, "label").select("set_id", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = known.select("doc_id", "set_id", "n").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return rows.join(named, ["set_id", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(named, ["set_id", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
@@ -313,7 +355,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataF
     lost = judged.filter("doc_id is null and component_id is not null").select("set_id").distinct()
     bare = docs.filter("doc_id is null").dropDuplicates(["text"])
     if not bare.isEmpty():
-        sets = classes(bare.withColumn("doc_id", F.xxhash64("text")), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), words, percent)
+        sets = measured(bare.withColumn("doc_id", F.xxhash64("text")), words).filter("n > 0")
         gone = sets.join(lost, "set_id").select("doc_id")
         kept = kept.unionByName(bare.withColumn("_key", F.xxhash64("text")).join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left_anti").select(*docs.columns))
     return kept
