@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window as W
 
 from quarry.llm.common import discard, map_rows, written
 
@@ -172,40 +173,61 @@ def postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int,
     return docs.select("text").mapInArrow(run, out)
 
 
-def index_lists(rows: DataFrame, percent: int) -> DataFrame:
-    """token, at, set_id, leader, leader_at: lists of two sets or more; a leader stands for a block of sets of like sizes."""
-    out = StructType.fromDDL("token long, at long, set_id long, leader long, leader_at long")
+def neighbours(rows: DataFrame, turn: int) -> DataFrame:
+    """token, at, set_id, prev, prev_at of index lists (token, at, set_id, label) of two sets or more.
+
+    prev is the last set before this one in the list that has another label; null if there is none. In
+    turn 0 lists are in the order of size and position and all rows are kept; in later turns each list
+    has a hash-random order of its own and rows without prev are left out. Lists are streamed, however long.
+    """
+    all_rows = not turn
+    out = StructType.fromDDL("token long, at long, set_id long, prev long, prev_at long")
     schema = to_arrow_schema(out)
-    band_base = np.log(100 / percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far, its block's leader, whether its list has more before it
+        held = None  # the last row, its prev, whether it has one, whether its list has rows before it
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, at, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
-                token, at, ids = np.r_[held[0], token], np.r_[held[1], at], np.r_[held[2], ids]
+                cols = [np.r_[h, c] for h, c in zip(held[0], cols, strict=True)]
+            token, at, ids, label = cols
             once = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])]  # tasks may each have passed on a set
-            token, at, ids = token[once], at[once], ids[once]
-            band = np.floor(np.log(at >> 32) / band_base + 1e-9)
-            new_list = np.r_[True, token[1:] != token[:-1]]
-            new_block = new_list | np.r_[True, band[1:] != band[:-1]]
-            lead = np.maximum.accumulate(np.where(new_block, np.arange(len(token)), 0))
-            leader, leader_at = ids[lead], at[lead]
-            earlier = ~new_list
+            token, at, ids, label = token[once], at[once], ids[once], label[once]
+            new = np.r_[True, token[1:] != token[:-1]]
+            rows_ = np.arange(len(token))
+            start = np.maximum.accumulate(np.where(new, rows_, 0))
+            turn = np.r_[False, label[1:] != label[:-1]] & ~new
+            back = np.maximum.accumulate(np.where(turn, rows_ - 1, -1))
+            has = back >= start
+            prev, prev_at = ids[np.maximum(back, 0)], at[np.maximum(back, 0)]
+            earlier = ~new
             if held is not None:
-                same = lead == 0
-                leader[same], leader_at[same] = held[3], held[4]
-                earlier[0] = held[5]
-            keep = earlier[:-1] | (token[:-1] == token[1:])
-            held = (token[-1:], at[-1:], ids[-1:], leader[-1], leader_at[-1], bool(earlier[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (token, at, ids, leader, leader_at)], schema=schema)
-        if held is not None and held[5]:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*held[:3], [held[3]], [held[4]])], schema=schema)
+                carried = (start == 0) & ~has
+                if held[3]:
+                    prev[carried], prev_at[carried], has[carried] = held[1], held[2], True
+                earlier[0] = held[4]
+            keep = (earlier[:-1] | (token[:-1] == token[1:])) if all_rows else has[:-1]
+            held = ([x[-1:] for x in (token, at, ids, label)], prev[-1], prev_at[-1], bool(has[-1]), bool(earlier[-1]))
+            none = ~has[:-1][keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (token, at, ids)] + [pa.array(x[:-1][keep], mask=none) for x in (prev, prev_at)], schema=schema)
+        if held is not None and (held[4] if all_rows else held[3]):
+            last = [[held[1]], [held[2]]] if held[3] else [[None], [None]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0][:3]] + [pa.array(x, pa.int64()) for x in last], schema=schema)
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "token").sortWithinPartitions("token", "at", "set_id").mapInArrow(run, out)
+    return rows.select("token", "at", "set_id", "label").repartition(parts, "token").sortWithinPartitions("token", F.xxhash64("token", "set_id", F.lit(turn)) if turn else "at", "set_id").mapInArrow(run, out)
+
+
+def likeliest(near: DataFrame, percent: int, tested: list[DataFrame], most: int) -> DataFrame:
+    """a, b: each set and the neighbours that it has in most lists, of those that it may link with and wasn't held against."""
+    votes = near.filter("prev is not null").filter(may_link(F.col("at"), F.col("prev_at"), percent)).select("set_id", "prev", F.least("set_id", "prev").alias("a"), F.greatest("set_id", "prev").alias("b"))
+    votes = votes.groupBy("set_id", "prev", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    for pairs in tested:
+        votes = votes.join(pairs, ["a", "b"], "left_anti")
+    place = F.row_number().over(W.partitionBy("set_id").orderBy(F.desc("n"), F.desc("prev")))
+    return votes.withColumn("place", place).filter(F.col("place") <= most).select("a", "b").distinct()
 
 
 def may_link(a, b, percent: int):
@@ -309,26 +331,69 @@ def connected(links: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rounds, and with how many neighbours a set is held in each; after them, all pairs that are left are looked at.
+NEIGHBOURS = (2, 5, 5)
+ROUNDS = len(NEIGHBOURS)
+
+
 def linked_sets(docs: DataFrame, known: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
     """set_id, label of the sets that link with another one."""
-    lists = written(index_lists(postings(docs, common, words, percent), percent), "lists")
-    # each set is held against the leader that it shares most lists with
-    led = lists.filter((F.col("set_id") != F.col("leader")) & may_link(F.col("at"), F.col("leader_at"), percent)).groupBy("set_id", "leader").agg(F.count(F.lit(1)).alias("n"))
-    best = led.groupBy("set_id").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-    stars = written(best.select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct(), "stars")
-    links = verified(stars, docs, known, words, percent)
-    labels = connected(links)
-    small = labels if labels.count() > BROADCAST_ROWS else F.broadcast(labels)
-    rows = lists.select("token", "at", "set_id").join(small, "set_id", "left").select("token", "at", "set_id", F.coalesce("label", "set_id").alias("label"))
-    most = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token", "most")
-    mixed = written(rows.join(most, "token"), "mixed-lists")
-    strays = mixed.filter("label != most").select("token", F.col("at").alias("at_s"), F.col("set_id").alias("s"), F.col("label").alias("label_s"))
-    open_ = mixed.join(strays, "token").filter((F.col("label") != F.col("label_s")) & may_link(F.col("at"), F.col("at_s"), percent)).select(F.least("s", "set_id").alias("a"), F.greatest("s", "set_id").alias("b")).distinct()
-    rest = written(open_.join(stars, ["a", "b"], "left_anti"), "rest")
-    discard(lists, mixed)
-    if rest.isEmpty():
-        return labels
-    return connected(links.unionByName(verified(rest, docs, known, words, percent)))
+    own = postings(docs, common, words, percent).withColumn("label", F.col("set_id"))
+    near = lists = written(neighbours(own, 0), "lists")
+    links, tested, spent, labels = None, [], [lists], None
+    for k in range(ROUNDS + 1):
+        if k < ROUNDS:
+            pairs = written(likeliest(near, percent, tested, NEIGHBOURS[k]), "pairs")
+        else:
+            pairs = written(open_pairs(rows, percent, tested), "pairs")
+        tested.append(pairs)
+        if pairs.isEmpty():
+            if k < ROUNDS and k:
+                continue
+            break
+        found = verified(pairs, docs, known, words, percent)
+        if not found.isEmpty():
+            links = found if links is None else written(links.unionByName(found), "links")
+            labels = connected(links)
+        if k < ROUNDS:
+            rows = with_labels(lists, labels)
+            rows = written(rows.join(shared_tokens(rows), "token"), "open-lists")
+            spent.append(rows)
+            near = neighbours(rows, k + 1)
+    discard(*spent, *tested)
+    return labels if labels is not None else docs.sparkSession.createDataFrame([], "set_id long, label long")
+
+
+def with_labels(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Lists with each set's label; a set without links is its own. Few labels are broadcast, by their number."""
+    rows = lists.select("token", "at", "set_id")
+    if labels is None:
+        return rows.withColumn("label", F.col("set_id"))
+    return rows.join(labels if labels.count() > BROADCAST_ROWS else F.broadcast(labels), "set_id", "left").select("token", "at", "set_id", F.coalesce("label", "set_id").alias("label"))
+
+
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """token, most: tokens of more labels than one, and the label that most of their sets have."""
+    counts = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token", "most")
+
+
+def open_pairs(rows: DataFrame, percent: int, tested: list[DataFrame]) -> DataFrame:
+    """a, b: all pairs of sets of different labels that may link, but for those that were held against each other.
+
+    Each such pair has a set whose label isn't the list's most frequent one. A pair's shared first tokens
+    are counted: what both sets have behind their first tokens can't make up for too few of them.
+    """
+    strays = rows.filter("label != most").select("token", F.col("at").alias("at_s"), F.col("set_id").alias("s"), F.col("label").alias("label_s"))
+    n, m = F.shiftright("at", 32), F.shiftright("at_s", 32)
+    pairs = rows.join(strays, "token").filter((F.col("label") != F.col("label_s")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
+    both = (F.col("label") != F.col("most")) & (F.col("label_s") != F.col("most"))  # such a pair comes twice
+    pairs = pairs.groupBy(F.least("s", "set_id").alias("a"), F.greatest("s", "set_id").alias("b")).agg(F.sum(F.when(both, 1).otherwise(2)).alias("twice"), F.max(may_link(F.col("at"), F.col("at_s"), percent)).alias("may"), F.max(n + m).alias("sum"), F.max(F.greatest(n, m)).alias("larger"))
+    need = F.ceil(F.lit(percent) * F.col("sum") / F.lit(100 + percent)) - F.ceil(F.lit(percent) * F.col("larger") / F.lit(100)) + 1
+    pairs = pairs.filter(F.col("may") & (F.col("twice") >= 2 * need)).select("a", "b")
+    for seen in tested:
+        pairs = pairs.join(seen, ["a", "b"], "left_anti")
+    return pairs
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
