@@ -73,9 +73,9 @@ def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
     (m, x), (n, y) = _codes(a), _codes(b)
-    most = int(np.maximum(x, y).sum()) + 255
+    most = int(np.maximum(x, y).sum()) + 64
     # a twelfth of a doubling a step: lengths add their own part, which is bounded too
-    apart = int(np.abs(x - y).sum()) + min(255, 2 * abs(m - n))
+    apart = int(np.abs(x - y).sum()) + min(64, 2 * abs(m - n))
     return max(0.0, 1.0 - apart / most)
 
 
