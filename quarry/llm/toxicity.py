@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -175,6 +176,35 @@ def likelihood_ratio(a: int, b: int, n: int, m: int) -> float:
     return 2 * (part(a, n * rate) + part(b, m * rate) + part(n - a, n * (1 - rate)) + part(m - b, m * (1 - rate)))
 
 
+def terms_of(word: str) -> list[str]:
+    """The terms that a word can show: itself, and its beginnings."""
+    return ([f"={word}"] if 3 <= len(word) <= 24 else []) + [f"^{word[:k]}" for k in BEGINNINGS if len(word) > k]
+
+
+def covering(texts: list[list[str]], clean: dict[str, int], n: int, m: int) -> list[str]:
+    """Terms picked one by one from the words of n toxic texts, the most telling one in the texts that are still open.
+
+    A text is closed once two of its words are found. So the rare words that copies of one toxic text share
+    aren't taken for the lexicon's: the terms that explain all toxic texts have closed these first.
+    """
+    open_ = [(i, set(t)) for i, t in enumerate(texts)]
+    found = [0] * len(texts)
+    chosen: list[str] = []
+    while len(chosen) < MOST_TERMS:
+        counts = Counter(x for _, words in open_ for x in {y for w in words for y in terms_of(w)} if x in clean)
+        best = max(counts, key=lambda x: (likelihood_ratio(counts[x], clean[x], n, m), x[0] == "=", len(x), x), default=None)
+        if best is None or likelihood_ratio(counts[best], clean[best], n, m) < LEAST_RATIO or counts[best] * m < clean[best] * n * LEAST_LIFT:
+            return chosen
+        chosen.append(best)
+        hit = (lambda w: w == best[1:]) if best[0] == "=" else (lambda w: w.startswith(best[1:]) and len(w) >= len(best))  # noqa: B023
+        for i, words in open_:
+            got = {w for w in words if hit(w)}
+            found[i] += len(got)
+            words -= got
+        open_ = [(i, words) for i, words in open_ if found[i] < 2]
+    return chosen
+
+
 def _regression(x: np.ndarray, y: np.ndarray, balance: np.ndarray) -> tuple[list[float], float]:
     """Logistic regression by Newton's steps, with a small ridge; weights of hits are not negative."""
     a = np.c_[x, np.ones(len(x))]
@@ -215,8 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         def f(_, labels, texts):
             out: dict[str, list] = {"term": [], "toxic": []}
             for y, t in zip(labels, texts, strict=True):
-                words = set(_TOKEN.findall(t.lower()))
-                terms = {f"={w}" for w in words if 3 <= len(w) <= 24} | {f"^{w[:k]}" for w in words for k in BEGINNINGS if len(w) >= k + 1}
+                terms = {x for w in set(_TOKEN.findall(t.lower())) for x in terms_of(w)}
                 out["term"] += terms
                 out["toxic"] += [y] * len(terms)
             return out
@@ -227,18 +256,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     counted = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     # more is asked for by the ratio below; this leaves what can pass at all
     likely = counted.filter((F.col("a") >= 4) & (F.col("a") * m >= F.col("b") * (n * LEAST_LIFT))).orderBy(F.desc("a"), "b", "term").limit(20 * MOST_TERMS).collect()
-    passed = sorted(((likelihood_ratio(r["a"], r["b"], n, m), r["term"], r["a"]) for r in likely), reverse=True)
-    passed = [x for x in passed if x[0] >= LEAST_RATIO]
-    words, beginnings = [], []
-    for ratio, term, a in passed[: 4 * MOST_TERMS]:
-        covers = lambda b: term[1:].startswith(b)  # noqa: B023, E731
-        if len(words) + len(beginnings) >= MOST_TERMS or any(covers(b) for b in beginnings):
-            continue
-        if term[0] == "=":
-            words.append(term[1:])
-        elif not any(term[1:] == w[: len(term) - 1] and a <= 1.05 * had for w, had in ((t[1:], k) for _, t, k in passed if t[0] == "=")):
-            beginnings.append(term[1:])  # more texts than any one word with this beginning
-        del ratio
+    clean = {r["term"]: r["b"] for r in likely if likelihood_ratio(r["a"], r["b"], n, m) >= LEAST_RATIO}
+
+    def words_of():
+        def f(texts):
+            return {"words": [[w for w in set(_TOKEN.findall(t.lower())) if any(x in clean for x in terms_of(w))] for t in texts]}
+
+        return f
+
+    rows_ = map_rows(sample.filter("toxic = 1"), [F.col("text")], "words array<string>", words_of, rows=128).collect()
+    chosen = covering([r["words"] for r in rows_], clean, n, m)
+    words, beginnings = [t[1:] for t in chosen if t[0] == "="], [t[1:] for t in chosen if t[0] == "^"]
     matcher_args = (words, beginnings)
 
     def rows():
