@@ -347,14 +347,13 @@ def linked_sets(docs: DataFrame, known: DataFrame, common: tuple[np.ndarray, np.
         else:
             pairs = written(open_pairs(rows, percent, tested), "pairs")
         tested.append(pairs)
-        if pairs.isEmpty():
-            if k < ROUNDS and k:
-                continue
-            break
-        found = verified(pairs, docs, known, words, percent)
-        if not found.isEmpty():
-            links = found if links is None else written(links.unionByName(found), "links")
-            labels = connected(links)
+        if not pairs.isEmpty():
+            found = verified(pairs, docs, known, words, percent)
+            if not found.isEmpty():
+                links = found if links is None else written(links.unionByName(found), "links")
+                labels = connected(links)
+        elif k:
+            continue
         if k < ROUNDS:
             rows = with_labels(lists, labels)
             rows = written(rows.join(shared_tokens(rows), "token"), "open-lists")
