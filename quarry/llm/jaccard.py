@@ -17,6 +17,7 @@ stays null. An empty table gives no rows. Tokens and classes are known by 64-bit
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -173,14 +174,12 @@ def postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int,
     return docs.select("text").mapInArrow(run, out)
 
 
-def neighbours(rows: DataFrame, turn: int) -> DataFrame:
+def neighbours(rows: DataFrame) -> DataFrame:
     """token, at, set_id, prev, prev_at of index lists (token, at, set_id, label) of two sets or more.
 
-    prev is the last set before this one in the list that has another label; null if there is none. In
-    turn 0 lists are in the order of size and position and all rows are kept; in later turns each list
-    has a hash-random order of its own and rows without prev are left out. Lists are streamed, however long.
+    prev is the last set before this one in the list that has another label; null if there is none.
+    Lists are in the order of size and position and are streamed, however long.
     """
-    all_rows = not turn
     out = StructType.fromDDL("token long, at long, set_id long, prev long, prev_at long")
     schema = to_arrow_schema(out)
 
@@ -208,16 +207,29 @@ def neighbours(rows: DataFrame, turn: int) -> DataFrame:
                 if held[3]:
                     prev[carried], prev_at[carried], has[carried] = held[1], held[2], True
                 earlier[0] = held[4]
-            keep = (earlier[:-1] | (token[:-1] == token[1:])) if all_rows else has[:-1]
+            keep = earlier[:-1] | (token[:-1] == token[1:])
             held = ([x[-1:] for x in (token, at, ids, label)], prev[-1], prev_at[-1], bool(has[-1]), bool(earlier[-1]))
             none = ~has[:-1][keep]
             yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (token, at, ids)] + [pa.array(x[:-1][keep], mask=none) for x in (prev, prev_at)], schema=schema)
-        if held is not None and (held[4] if all_rows else held[3]):
+        if held is not None and held[4]:
             last = [[held[1]], [held[2]]] if held[3] else [[None], [None]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0][:3]] + [pa.array(x, pa.int64()) for x in last], schema=schema)
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.select("token", "at", "set_id", "label").repartition(parts, "token").sortWithinPartitions("token", F.xxhash64("token", "set_id", F.lit(turn)) if turn else "at", "set_id").mapInArrow(run, out)
+    return rows.select("token", "at", "set_id", "label").repartition(parts, "token").sortWithinPartitions("token", "at", "set_id").mapInArrow(run, out)
+
+
+def led(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """token, at, set_id, prev, prev_at: prev is the leader of the set's block of the list, if that has another label.
+
+    A block has the sets of like sizes; turns shift its bounds. Its leader has this token at the lowest position:
+    the fewest tokens that others lack come before it, so it is the likeliest to link with any of the block.
+    """
+    size = F.shiftright("at", 32)
+    block = F.floor(F.log(size) / math.log(100 / min(percent, 99)) + F.lit(turn / ROUNDS))
+    blocks = rows.select("token", "at", "set_id", "label", block.alias("block"))
+    first = blocks.groupBy("token", "block").agg(F.min(F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"), "at", "set_id", "label")).alias("first"))
+    return blocks.join(first, ["token", "block"]).filter(F.col("label") != F.col("first.label")).select("token", "at", "set_id", F.col("first.set_id").alias("prev"), F.col("first.at").alias("prev_at"))
 
 
 def likeliest(near: DataFrame, percent: int, tested: list[DataFrame], most: int) -> DataFrame:
@@ -331,15 +343,15 @@ def connected(links: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-#: Rounds, and with how many neighbours a set is held in each; after them, all pairs that are left are looked at.
-NEIGHBOURS = (2, 5, 5)
+#: Rounds, and with how many neighbours (then leaders) a set is held in each; after them, all pairs that are left are looked at.
+NEIGHBOURS = (1, 5, 5)
 ROUNDS = len(NEIGHBOURS)
 
 
 def linked_sets(docs: DataFrame, known: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
     """set_id, label of the sets that link with another one."""
     own = postings(docs, common, words, percent).withColumn("label", F.col("set_id"))
-    near = lists = written(neighbours(own, 0), "lists")
+    near = lists = written(neighbours(own), "lists")
     links, tested, spent, labels = None, [], [lists], None
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
@@ -358,7 +370,7 @@ def linked_sets(docs: DataFrame, known: DataFrame, common: tuple[np.ndarray, np.
             rows = with_labels(lists, labels)
             rows = written(rows.join(shared_tokens(rows), "token"), "open-lists")
             spent.append(rows)
-            near = neighbours(rows, k + 1)
+            near = led(rows, percent, k + 1)
     discard(*spent, *tested)
     return labels if labels is not None else docs.sparkSession.createDataFrame([], "set_id long, label long")
 
