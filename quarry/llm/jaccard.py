@@ -389,22 +389,47 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     return counts.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token", "most")
 
 
+#: Sets whose sizes differ by less than this factor are one block when lists are chosen. Only speed depends on it.
+BLOCK = 1.02
+
+
+def least_need(n, m, percent: int):
+    """A lower bound of how many first tokens linking sets of n and m share, before it is rounded up; over a range of m it is least at an end.
+
+    What both sets have behind their first tokens can't make up for fewer.
+    """
+    return F.lit(float(percent)) * (n + m) / F.lit(100.0 + percent) - F.lit(float(percent)) * F.greatest(n, m) / F.lit(100.0)
+
+
 def open_pairs(rows: DataFrame, percent: int, tested: list[DataFrame]) -> DataFrame:
     """a, b: all pairs of sets of different labels that may link, but for those that were held against each other.
 
-    Each such pair has a set whose label isn't the list's most frequent one. A pair's shared first tokens
-    are counted: what both sets have behind their first tokens can't make up for too few of them.
+    Each such pair has a set whose label isn't some list's most frequent one; it looks for its partners. Of its
+    lists with sets of a size block it looks only at the shortest: a partner that is in none of them is in
+    too few of the others. Then the shared first tokens of each pair found are counted, and what is left of both
+    sets behind the first one.
     """
-    strays = rows.filter("label != most").select("token", F.col("at").alias("at_s"), F.col("set_id").alias("s"), F.col("label").alias("label_s"))
-    n, m = F.shiftright("at", 32), F.shiftright("at_s", 32)
-    pairs = rows.join(strays, "token").filter((F.col("label") != F.col("label_s")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
-    both = (F.col("label") != F.col("most")) & (F.col("label_s") != F.col("most"))  # such a pair comes twice
-    pairs = pairs.groupBy(F.least("s", "set_id").alias("a"), F.greatest("s", "set_id").alias("b")).agg(F.sum(F.when(both, 1).otherwise(2)).alias("twice"), F.max(may_link(F.col("at"), F.col("at_s"), percent)).alias("may"), F.max(n + m).alias("sum"), F.max(F.greatest(n, m)).alias("larger"))
-    need = F.ceil(F.lit(percent) * F.col("sum") / F.lit(100 + percent)) - F.ceil(F.lit(percent) * F.col("larger") / F.lit(100)) + 1
-    pairs = pairs.filter(F.col("may") & (F.col("twice") >= 2 * need)).select("a", "b")
-    for seen in tested:
-        pairs = pairs.join(seen, ["a", "b"], "left_anti")
-    return pairs
+    n = F.shiftright("at", 32)
+    rows = rows.select("token", "set_id", "label", "most", n.alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("position"), F.floor(F.log(n) / math.log(BLOCK)).alias("block"))
+    blocks = rows.groupBy("token", "block").agg(F.count(F.lit(1)).alias("sets"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("label_lo"), F.max("label").alias("label_hi"))
+    seekers = rows.join(rows.filter("label != most").select("set_id").distinct(), "set_id").select("token", "set_id", "label", "n")
+    seen = seekers.join(blocks, "token").filter((100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo")) & ((F.col("label") != F.col("label_lo")) | (F.col("label") != F.col("label_hi"))))
+    own = W.partitionBy("set_id", "block")
+    lo, hi = F.greatest(F.min("lo").over(own), F.col("n") * percent / 100), F.least(F.max("hi").over(own), F.col("n") * 100 / percent)
+    need = F.greatest(F.lit(1), F.floor(F.least(least_need(F.col("n"), lo, percent), least_need(F.col("n"), hi, percent)) - 1e-6) + 1)
+    seen = seen.select("token", "block", F.col("set_id").alias("s"), F.col("label").alias("label_s"), F.col("n").alias("m"), need.alias("need"), F.count(F.lit(1)).over(own).alias("lists"), F.row_number().over(own.orderBy("sets", "token")).alias("place"))
+    seen = seen.filter("place <= lists - need + 1").select("token", "block", "s", "label_s", "m")
+    pairs = rows.join(seen, ["token", "block"]).filter((F.col("label") != F.col("label_s")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    pairs = pairs.groupBy(F.least("s", "set_id").alias("a"), F.greatest("s", "set_id").alias("b")).agg(F.max(least_need(F.col("n"), F.col("m"), percent)).alias("least"))
+    for held in tested:
+        pairs = pairs.join(held, ["a", "b"], "left_anti")
+    firsts = rows.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("firsts"), F.max("n").alias("n"))
+    for side in ("a", "b"):
+        pairs = pairs.join(firsts.select(F.col("set_id").alias(side), F.col("firsts").alias(f"firsts_{side}"), F.col("n").alias(f"n_{side}")), side)
+    common = F.array_intersect("firsts_a.token", "firsts_b.token")
+    left = [F.col(f"n_{side}") - F.get(F.col(f"firsts_{side}.position"), (F.array_position(f"firsts_{side}.token", F.get("common", 0)) - 1).cast("int")) for side in ("a", "b")]
+    pairs = pairs.withColumn("common", common).filter(F.size("common") > F.col("least") - 1e-6)
+    return pairs.filter((100 + percent) * F.least(*left) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:

@@ -241,6 +241,26 @@ def test_jaccard_near_copies(spark):
     assert components(df) == brute_components(rows)
 
 
+@pytest.mark.parametrize("rounds", [True, False])
+def test_jaccard_at_the_bound(spark, monkeypatch, rounds):
+    """Sets about as alike as the bound, of many sizes; without rounds, the last step finds every link by itself."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g, size in enumerate((6, 12, 25, 60, 140)):
+        base = [f"g{g}w{i}" for i in range(size)]
+        for _ in range(24):
+            words = list(base)
+            for _ in range(rng.integers(0, 1 + max(1, size // 25))):
+                words[rng.integers(size)] = f"x{rng.integers(100_000)}"
+            cut = rng.integers(0, 1 + size // 6)
+            rows.append((len(rows), " ".join(words[cut:] + [f"y{rng.integers(100_000)}" for _ in range(rng.integers(0, 1 + size // 12))])))
+    if not rounds:
+        monkeypatch.setattr(jaccard, "likeliest", lambda near, *_: near.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")).limit(0))
+    found = components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found == brute_components(rows)
+    assert 10 < len({c for *_, c in found}) < len(rows)
+
+
 def test_jaccard_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
