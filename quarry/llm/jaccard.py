@@ -5,7 +5,8 @@ seen often come last, the rest by hash; two sets that link share a token among t
 Index lists of these tokens are sorted by set size and position, so that blocks whose size or
 position rules a link out are skipped. Answers are derived from those of highly similar sets: in
 each block of a list all sets are first held against the block's leader only; sets that link to it
-share its answer, and only those pairs of a list that aren't connected by then are looked at. No
+share its answer, and only those pairs of a list that aren't connected by then are looked at. Of all
+pairs only those that share enough of their first tokens have their whole sets fetched and compared. No
 list's pairs are emitted within one connected group, and every link between groups is found.
 
 Equal sets are one class from the start. Null and empty texts have no set and are linked with
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -232,12 +233,31 @@ def led(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     return blocks.join(first, ["token", "block"]).filter(F.col("label") != F.col("first.label")).select("token", "at", "set_id", F.col("first.set_id").alias("prev"), F.col("first.at").alias("prev_at"))
 
 
+def first_tokens(lists: DataFrame) -> DataFrame:
+    """set_id, n, firsts: each set's first tokens that other sets have too, with their positions, in their order."""
+    position = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return lists.groupBy("set_id").agg(F.max(F.shiftright("at", 32)).alias("n"), F.array_sort(F.collect_list(F.struct(position.alias("position"), "token"))).alias("firsts"))
+
+
+def alike(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that share as many first tokens as linking sets must, and have enough left from the first shared one on."""
+    for side in ("a", "b"):
+        pairs = pairs.join(firsts.select(F.col("set_id").alias(side), F.col("firsts").alias(f"firsts_{side}"), F.col("n").alias(f"n_{side}")), side)
+    n, m = F.col("n_a"), F.col("n_b")
+    pairs = pairs.withColumn("common", F.array_intersect("firsts_a.token", "firsts_b.token")).filter((F.size("common") > 0) & (F.size("common") > least_need(n, m, percent) - 1e-6))
+    left = [F.col(f"n_{side}") - F.get(F.col(f"firsts_{side}.position"), (F.array_position(f"firsts_{side}.token", F.get("common", 0)) - 1).cast("int")) for side in ("a", "b")]
+    return pairs.filter((100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(*left) >= percent * (n + m))).select("a", "b")
+
+
+def not_among(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
+    """pairs (a, b) that no table of tested ones has: one join, however many tables."""
+    return pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti") if tested else pairs
+
+
 def likeliest(near: DataFrame, percent: int, tested: list[DataFrame], most: int) -> DataFrame:
     """a, b: each set and the neighbours that it has in most lists, of those that it may link with and wasn't held against."""
     votes = near.filter("prev is not null").filter(may_link(F.col("at"), F.col("prev_at"), percent)).select("set_id", "prev", F.least("set_id", "prev").alias("a"), F.greatest("set_id", "prev").alias("b"))
-    votes = votes.groupBy("set_id", "prev", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    for pairs in tested:
-        votes = votes.join(pairs, ["a", "b"], "left_anti")
+    votes = not_among(votes.groupBy("set_id", "prev", "a", "b").agg(F.count(F.lit(1)).alias("n")), tested)
     place = F.row_number().over(W.partitionBy("set_id").orderBy(F.desc("n"), F.desc("prev")))
     return votes.withColumn("place", place).filter(F.col("place") <= most).select("a", "b").distinct()
 
@@ -276,7 +296,7 @@ def fetched(docs: DataFrame, ids: DataFrame, known: DataFrame, words: int) -> Da
     looked at, one of the sets' ids which of their sets are passed on; the rest of the texts stays where it is.
     """
     first = known.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(ids, "set_id")
-    first = written(first.select("set_id", F.xxhash64("doc_id").alias("slot")), "firsts")
+    first = written(first.select("set_id", F.xxhash64("doc_id").alias("slot")), "slots")
     shared = docs.sparkSession.sparkContext.broadcast((bit_map(first, "slot"), bit_map(first, "set_id")))
     discard(first)
 
@@ -352,13 +372,15 @@ def linked_sets(docs: DataFrame, known: DataFrame, common: tuple[np.ndarray, np.
     """set_id, label of the sets that link with another one."""
     own = postings(docs, common, words, percent).withColumn("label", F.col("set_id"))
     near = lists = written(neighbours(own), "lists")
-    links, tested, spent, labels = None, [], [lists], None
+    firsts = written(first_tokens(lists), "firsts")
+    links, tested, spent, labels = None, [], [lists, firsts], None
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
-            pairs = written(likeliest(near, percent, tested, NEIGHBOURS[k]), "pairs")
+            tested.append(written(likeliest(near, percent, tested, NEIGHBOURS[k]), "pairs"))
+            pairs = written(alike(tested[-1], firsts, percent), "alike")
         else:
-            pairs = written(open_pairs(rows, percent, tested), "pairs")
-        tested.append(pairs)
+            pairs = written(alike(open_pairs(rows, percent, tested), firsts, percent), "alike")
+        spent.append(pairs)
         if not pairs.isEmpty():
             found = verified(pairs, docs, known, words, percent)
             if not found.isEmpty():
@@ -402,15 +424,14 @@ def least_need(n, m, percent: int):
 
 
 def open_pairs(rows: DataFrame, percent: int, tested: list[DataFrame]) -> DataFrame:
-    """a, b: all pairs of sets of different labels that may link, but for those that were held against each other.
+    """a, b: all pairs of sets of different labels that may link, but for those that were looked at before.
 
     Each such pair has a set whose label isn't some list's most frequent one; it looks for its partners. Of its
     lists with sets of a size block it looks only at the shortest: a partner that is in none of them is in
-    too few of the others. Then the shared first tokens of each pair found are counted, and what is left of both
-    sets behind the first one.
+    too few of the others.
     """
     n = F.shiftright("at", 32)
-    rows = rows.select("token", "set_id", "label", "most", n.alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("position"), F.floor(F.log(n) / math.log(BLOCK)).alias("block"))
+    rows = rows.select("token", "set_id", "label", "most", n.alias("n"), F.floor(F.log(n) / math.log(BLOCK)).alias("block"))
     blocks = rows.groupBy("token", "block").agg(F.count(F.lit(1)).alias("sets"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("label_lo"), F.max("label").alias("label_hi"))
     seekers = rows.join(rows.filter("label != most").select("set_id").distinct(), "set_id").select("token", "set_id", "label", "n")
     seen = seekers.join(blocks, "token").filter((100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo")) & ((F.col("label") != F.col("label_lo")) | (F.col("label") != F.col("label_hi"))))
@@ -420,16 +441,7 @@ def open_pairs(rows: DataFrame, percent: int, tested: list[DataFrame]) -> DataFr
     seen = seen.select("token", "block", F.col("set_id").alias("s"), F.col("label").alias("label_s"), F.col("n").alias("m"), need.alias("need"), F.count(F.lit(1)).over(own).alias("lists"), F.row_number().over(own.orderBy("sets", "token")).alias("place"))
     seen = seen.filter("place <= lists - need + 1").select("token", "block", "s", "label_s", "m")
     pairs = rows.join(seen, ["token", "block"]).filter((F.col("label") != F.col("label_s")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    pairs = pairs.groupBy(F.least("s", "set_id").alias("a"), F.greatest("s", "set_id").alias("b")).agg(F.max(least_need(F.col("n"), F.col("m"), percent)).alias("least"))
-    for held in tested:
-        pairs = pairs.join(held, ["a", "b"], "left_anti")
-    firsts = rows.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("firsts"), F.max("n").alias("n"))
-    for side in ("a", "b"):
-        pairs = pairs.join(firsts.select(F.col("set_id").alias(side), F.col("firsts").alias(f"firsts_{side}"), F.col("n").alias(f"n_{side}")), side)
-    common = F.array_intersect("firsts_a.token", "firsts_b.token")
-    left = [F.col(f"n_{side}") - F.get(F.col(f"firsts_{side}.position"), (F.array_position(f"firsts_{side}.token", F.get("common", 0)) - 1).cast("int")) for side in ("a", "b")]
-    pairs = pairs.withColumn("common", common).filter(F.size("common") > F.col("least") - 1e-6)
-    return pairs.filter((100 + percent) * F.least(*left) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return not_among(pairs.select(F.least("s", "set_id").alias("a"), F.greatest("s", "set_id").alias("b")).distinct(), tested)
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
