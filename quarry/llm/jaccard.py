@@ -359,6 +359,21 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """labels (set_id, label) with the links found (a, b) added: only the groups that these join are connected anew."""
+    if labels is None:
+        return connected(found)
+    ends = found
+    for side in ("a", "b"):
+        ends = ends.join(labels.select(F.col("set_id").alias(side), F.col("label").alias(f"label_{side}")), side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
+    ends = written(ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).filter("a != b").distinct(), "joined")
+    if ends.isEmpty():
+        return labels
+    onto = connected(ends).select(F.col("set_id").alias("label"), F.col("label").alias("onto"))
+    fresh = ends.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().withColumn("label", F.col("set_id")).join(labels.select("set_id"), "set_id", "left_anti")
+    return written(labels.unionByName(fresh).join(onto, "label", "left").select("set_id", F.coalesce("onto", "label").alias("label")), "labels")
+
+
 #: Labels of so many sets are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -373,7 +388,7 @@ def linked_sets(docs: DataFrame, known: DataFrame, common: tuple[np.ndarray, np.
     own = postings(docs, common, words, percent).withColumn("label", F.col("set_id"))
     near = lists = written(neighbours(own), "lists")
     firsts = written(first_tokens(lists), "firsts")
-    links, tested, spent, labels = None, [], [lists, firsts], None
+    tested, spent, labels = [], [lists, firsts], None
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
             tested.append(written(likeliest(near, percent, tested, NEIGHBOURS[k]), "pairs"))
@@ -384,8 +399,7 @@ def linked_sets(docs: DataFrame, known: DataFrame, common: tuple[np.ndarray, np.
         if not pairs.isEmpty():
             found = verified(pairs, docs, known, words, percent)
             if not found.isEmpty():
-                links = found if links is None else written(links.unionByName(found), "links")
-                labels = connected(links)
+                labels = relabelled(labels, found)
         elif k:
             continue
         if k < ROUNDS:
