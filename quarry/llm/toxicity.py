@@ -7,17 +7,18 @@ finds terms that are misspelled by one edit. Words around a hit then tell abuse
 hit in quotation marks or after a word of reporting counts for less, one beside a second person for
 more. A logistic regression turns a text's hits into a score.
 
-Learning takes at most `per_class` texts of each label, by a hash of the id; the lexicon has at most
-`MOST_TERMS` terms. Null and empty texts have no hits and get the score of a text without hits, and
+Learning takes at most `per_class` texts of each label, by a hash of the id, and looks at equal ones once,
+with their highest label; the lexicon ends where no term is telling enough any more. Null and empty texts have no hits and get the score of a text without hits, and
 with nothing to learn from every score is 0. A document labelled more than once has its highest
 label, null labels don't count. Repeated rows are scored alike. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import map_rows, unit, written
 
 PER_CLASS = 4000
-MOST_TERMS = 1000
 #: A term's log-likelihood ratio must be at least this, and it must be this much likelier in toxic texts.
 LEAST_RATIO, LEAST_LIFT = 18.0, 8.0
 BEGINNINGS = (4, 5, 6)
@@ -167,6 +167,17 @@ class Model:
         return f
 
 
+def ratio_column(n: int, m: int) -> Column:
+    """likelihood_ratio of the columns a and b."""
+
+    def part(k: Column, expected: Column) -> Column:
+        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+
+    a, b = F.col("a"), F.col("b")
+    rate = (a + b) / F.lit(float(n + m))
+    return 2 * (part(a, n * rate) + part(b, m * rate) + part(n - a, n * (1 - rate)) + part(m - b, m * (1 - rate)))
+
+
 def likelihood_ratio(a: int, b: int, n: int, m: int) -> float:
     """Of a in n toxic and b in m clean texts against one rate for both."""
     def part(k: float, expected: float) -> float:
@@ -185,23 +196,46 @@ def covering(texts: list[list[str]], clean: dict[str, int], n: int, m: int) -> l
     """Terms picked one by one from the words of n toxic texts, the most telling one in the texts that are still open.
 
     A text is closed once two of its words are found. So the rare words that copies of one toxic text share
-    aren't taken for the lexicon's: the terms that explain all toxic texts have closed these first.
+    aren't taken for the lexicon's: the terms that explain all toxic texts have closed these first. Counts
+    only fall, and a term's ratio with them, so a heap of ratios, renewed as they come up, gives the best.
     """
-    open_ = [(i, set(t)) for i, t in enumerate(texts)]
+    open_ = {i: set(t) for i, t in enumerate(texts)}
     found = [0] * len(texts)
+    where: dict[str, list[int]] = defaultdict(list)
+
+    def shown(words: set[str]) -> set[str]:
+        return {x for w in words for x in terms_of(w) if x in clean}
+
+    for i, words in open_.items():
+        for x in shown(words):
+            where[x].append(i)
+    counts = {x: len(at) for x, at in where.items()}
+
+    def entry(x: str, place: int) -> list[tuple[float, int, int, str]]:
+        """x with its ratio, or nothing if it isn't telling enough, which it won't be again."""
+        a, b = counts[x], clean[x]
+        return [(-ratio, place, a, x)] if a and a * m >= b * n * LEAST_LIFT and (ratio := likelihood_ratio(a, b, n, m)) >= LEAST_RATIO else []
+
+    heap = [e for place, x in enumerate(sorted(counts, key=lambda x: (x[0] == "=", len(x), x), reverse=True)) for e in entry(x, place)]
+    heapq.heapify(heap)
     chosen: list[str] = []
-    while len(chosen) < MOST_TERMS:
-        counts = Counter(x for _, words in open_ for x in {y for w in words for y in terms_of(w)} if x in clean)
-        best = max(counts, key=lambda x: (likelihood_ratio(counts[x], clean[x], n, m), x[0] == "=", len(x), x), default=None)
-        if best is None or likelihood_ratio(counts[best], clean[best], n, m) < LEAST_RATIO or counts[best] * m < clean[best] * n * LEAST_LIFT:
-            return chosen
+    while heap:
+        _, place, a, best = heapq.heappop(heap)
+        if a != counts[best]:
+            for e in entry(best, place):
+                heapq.heappush(heap, e)
+            continue
         chosen.append(best)
-        hit = (lambda w: w == best[1:]) if best[0] == "=" else (lambda w: w.startswith(best[1:]) and len(w) >= len(best))  # noqa: B023
-        for i, words in open_:
-            got = {w for w in words if hit(w)}
+        for i in where[best]:
+            if (words := open_.get(i)) is None or not (got := {w for w in words if best in terms_of(w)}):
+                continue
             found[i] += len(got)
+            before = shown(words)
             words -= got
-        open_ = [(i, words) for i, words in open_ if found[i] < 2]
+            if found[i] >= 2:
+                del open_[i]
+            for x in before - (shown(words) if found[i] < 2 else set()):
+                counts[x] -= 1
     return chosen
 
 
@@ -220,7 +254,8 @@ def _regression(x: np.ndarray, y: np.ndarray, balance: np.ndarray) -> tuple[list
 def sample_of(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame | None, dict[int, int]]:
     """doc_id, toxic, text of at most per_class labelled documents of each label, about, and each label's count.
 
-    The sample is drawn among labels; only its ids, bounded by per_class, are sent to the documents.
+    The sample is drawn among labels; only its ids, bounded by per_class, are sent to the documents. Equal
+    texts give one row.
     """
     best = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in best.groupBy("toxic").count().collect()}
@@ -230,7 +265,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataF
     ids = sorted(tuple(r) for r in best.filter(unit("doc_id", "toxicity") < share).collect())
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxic-sample"), counts
+    drawn = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    once = drawn.groupBy(F.sha2("text", 256).alias("_digest")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.min("text").alias("text")).drop("_digest")
+    return written(once, "toxic-sample"), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
@@ -254,9 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     terms = map_rows(sample, [F.col("doc_id").cast("long"), F.col("toxic").cast("int"), F.col("text")], "term string, toxic int", start, rows=128)
     counted = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    # more is asked for by the ratio below; this leaves what can pass at all
-    likely = counted.filter((F.col("a") >= 4) & (F.col("a") * m >= F.col("b") * (n * LEAST_LIFT))).orderBy(F.desc("a"), "b", "term").limit(20 * MOST_TERMS).collect()
-    clean = {r["term"]: r["b"] for r in likely if likelihood_ratio(r["a"], r["b"], n, m) >= LEAST_RATIO}
+    likely = counted.filter((F.col("a") * m >= F.col("b") * (n * LEAST_LIFT)) & (ratio_column(n, m) >= LEAST_RATIO))
+    clean = {r["term"]: r["b"] for r in likely.select("term", "b").collect()}
 
     def words_of():
         def f(texts):

@@ -69,6 +69,26 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.fit(empty, labels.limit(0)) is None and toxicity.score(empty, model).collect() == []
 
 
+def test_toxicity_lexicon_past_copies(spark):
+    """60 copies of one toxic text of 5,200 words, whose beginnings differ, don't take the places of the word in 20 other toxic texts."""
+    abc = "abcdefghijklmnopqrst"
+    long_text = " ".join(abc[i // 8000] + abc[i // 400 % 20] + abc[i // 20 % 20] + abc[i % 20] + "zzzz" for i in range(5200))
+    rows = [(i, long_text) for i in range(60)]
+    rows += [(100 + i, f"plain words {i} with a wuggish thing and another wuggish one") for i in range(20)]
+    rows += [(200 + i, f"plain words {i} with a thing and another one") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, df.select("doc_id", (F.col("doc_id") < 200).cast("int").alias("toxic")))
+    assert any("wuggish".startswith(t) for t in model.words + model.beginnings)
+    assert not any(t.endswith("zzzz") for t in model.words)
+
+
+def test_toxicity_lexicon_ends_by_its_ratio():
+    """1,100 terms of 14 toxic texts each all pass the ratio; a term that clean texts show doesn't end the search."""
+    texts = [[f"word{i}"] for i in range(1100) for _ in range(14)] + [["often"]] * 600
+    clean = {f"=word{i}": 0 for i in range(1100)} | {"=often": 500}
+    assert len(toxicity.covering(texts, clean, len(texts), len(texts))) == 1100
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abc", max_size=5), min_size=1, max_size=6), st.text("abcd", max_size=6))
 def test_automaton(terms, word):
