@@ -3,9 +3,11 @@
 The lexicon is learned from labelled documents: words, and word beginnings that stand for a whole
 family of words, whose document frequency among toxic texts is too high for chance. It is held in a
 trie. A text's distinct words are run through the trie together with a Levenshtein automaton, which
-finds terms that are misspelled by one edit. Words around a hit then tell abuse from quotation: a
+finds terms that are misspelled by one edit; of a beginning, it looks for the words of its family that
+several toxic texts have. Words that clean texts have of their own aren't taken for misspelled. Words around a hit then tell abuse from quotation: a
 hit in quotation marks or after a word of reporting counts for less, one beside a second person for
-more. A logistic regression turns a text's hits into a score.
+more. A logistic regression turns a text's hits into a score; it learns from each text as it is and as if
+its hits were misspelled, since few texts of a sample show a misspelling.
 
 Learning takes at most `per_class` texts of each label, by a hash of the id, and looks at equal ones once,
 with their highest label; the lexicon ends where no term is telling enough any more. Null and empty texts have no hits and get the score of a text without hits, and
@@ -33,8 +35,11 @@ PER_CLASS = 4000
 #: A term's log-likelihood ratio must be at least this, and it must be this much likelier in toxic texts.
 LEAST_RATIO, LEAST_LIFT = 18.0, 8.0
 BEGINNINGS = (4, 5, 6)
-#: Terms of at least this length are also found at one edit; the rest and beginnings only as they are.
+#: Terms of at least this length are also found at one edit; the rest only as they are.
 FUZZY_LENGTH = 5
+#: A beginning's words are looked for at one edit if so many toxic texts have them, and a word of so many clean
+#: texts can be no misspelling: what one text has may itself be one.
+FAMILY_TEXTS = 2
 CACHE_WORDS = 300_000
 WINDOW = 3
 # Words that report or mention speech, and second persons, in the languages of the tables.
@@ -88,25 +93,28 @@ def within_one(trie: dict, word: str) -> list[int]:
 class Matcher:
     """word -> (term number, exact?) or None. Words that share neither half with a term are passed by: an edit leaves one half whole."""
 
-    def __init__(self, words: list[str], beginnings: list[str]):
+    def __init__(self, words: list[str], beginnings: list[str], family: list[str], plain: list[str]):
         self.exact = {w: i for i, w in enumerate(words)}
         self.beginnings = {b: len(words) + i for i, b in enumerate(beginnings)}
         self.sizes = sorted({len(b) for b in beginnings})
-        fuzzy = {w: i for w, i in self.exact.items() if len(w) >= FUZZY_LENGTH}
-        self.trie = build_trie(fuzzy)
-        self.heads = {w[: len(w) // 2] for w in fuzzy}
-        self.tails = {w[len(w) // 2 :] for w in fuzzy}
+        self.fuzzy = {w: i for w in family if (i := self.begun(w)) is not None and len(w) >= FUZZY_LENGTH}
+        self.fuzzy |= {w: i for w, i in self.exact.items() if len(w) >= FUZZY_LENGTH}
+        self.plain = frozenset(plain)
+        self.trie = build_trie(self.fuzzy)
+        self.heads = {w[: len(w) // 2] for w in self.fuzzy}
+        self.tails = {w[len(w) // 2 :] for w in self.fuzzy}
         self.head_sizes = sorted({len(x) for x in self.heads})
         self.tail_sizes = sorted({len(x) for x in self.tails})
         self.known: dict[str, tuple[int, bool] | None] = {}
 
+    def begun(self, word: str) -> int | None:
+        """The number of word's shortest beginning in the lexicon."""
+        return next((i for k in self.sizes if (i := self.beginnings.get(word[:k])) is not None), None)
+
     def find(self, word: str) -> tuple[int, bool] | None:
-        if (i := self.exact.get(word)) is not None:
+        if (i := self.exact.get(word)) is not None or (i := self.begun(word)) is not None:
             return i, True
-        for k in self.sizes:
-            if (i := self.beginnings.get(word[:k])) is not None:
-                return i, True
-        if len(word) >= FUZZY_LENGTH - 1 and (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)):
+        if len(word) >= FUZZY_LENGTH - 1 and word not in self.plain and (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)):
             near = within_one(self.trie, word)
             if near:
                 return near[0], False
@@ -132,11 +140,16 @@ def context_weight(text: str, start: int, end: int) -> float:
     return weight * (1.5 if any(w in SECOND for w in near) else 1.0)
 
 
-def features(text: str | None, matcher: Matcher) -> list[float]:
-    """Logs of the text's weighted hits: words as they are, misspelled ones, distinct terms, hits a word."""
+def features(text: str | None, matcher: Matcher, misspelled: bool = False) -> list[float]:
+    """Logs of the text's weighted hits: words as they are, misspelled ones, distinct terms, hits a word.
+
+    misspelled: as if each hit had an edit, where the automaton looks for its word.
+    """
     low = (text or "").lower()
     words = set(_TOKEN.findall(low))
     hits = matcher.hits(words)
+    if misspelled:
+        hits = {w: (i, exact and w not in matcher.fuzzy) for w, (i, exact) in hits.items()}
     if not hits:
         return [0.0, 0.0, 0.0, 0.0]
     exact = fuzzy = 0.0
@@ -146,19 +159,21 @@ def features(text: str | None, matcher: Matcher) -> list[float]:
         if (hit := hits.get(m[0])) is not None:
             w = context_weight(low, m.start(), m.end())
             exact, fuzzy = (exact + w, fuzzy) if hit[1] else (exact, fuzzy + w)
-    terms = len({h[0] for h in hits.values() if h[1]})
-    return [math.log1p(exact), math.log1p(fuzzy), math.log1p(terms), 10 * min(0.1, exact / total)]
+    terms = len({h[0] for h in hits.values()})
+    return [math.log1p(exact), math.log1p(fuzzy), math.log1p(terms), 10 * min(0.1, (exact + fuzzy) / total)]
 
 
 @dataclass
 class Model:
     words: list[str]
     beginnings: list[str]
+    family: list[str]
+    plain: list[str]
     weights: list[float]
     bias: float
 
     def scorer(self):
-        matcher, weights = Matcher(self.words, self.beginnings), self.weights
+        matcher, weights = Matcher(self.words, self.beginnings, self.family, self.plain), self.weights
 
         def f(text: str | None) -> float:
             z = self.bias + sum(a * b for a, b in zip(weights, features(text, matcher), strict=True))
@@ -303,13 +318,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     rows_ = map_rows(sample.filter("toxic = 1"), [F.col("text")], "words array<string>", words_of, rows=128).collect()
     chosen = covering([r["words"] for r in rows_], clean, n, m)
     words, beginnings = [t[1:] for t in chosen if t[0] == "="], [t[1:] for t in chosen if t[0] == "^"]
-    matcher_args = (words, beginnings)
+    begun = F.lit(False)
+    for k in BEGINNINGS:
+        begun |= F.substring("term", 2, k).isin([b for b in beginnings if len(b) == k])
+    often = counted.filter(F.col("term").startswith("=") & begun & (F.col("a") >= FAMILY_TEXTS) & (F.col("a") * m >= F.col("b") * (n * LEAST_LIFT)))
+    family = sorted(r["term"][1:] for r in often.select("term").collect()) if beginnings else []
+
+    def edited_words():
+        matcher = Matcher(words, beginnings, family, [])
+
+        def f(labels, texts):
+            found = [(w, y) for y, t in zip(labels, texts, strict=True) for w, (_, exact) in matcher.hits(set(_TOKEN.findall(t.lower()))).items() if not exact]
+            return {"term": [w for w, _ in found], "toxic": [y for _, y in found]}
+
+        return f
+
+    edited = map_rows(sample, [F.col("toxic").cast("int"), F.col("text")], "term string, toxic int", edited_words, rows=128)
+    common = edited.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter((F.col("b") >= FAMILY_TEXTS) & (F.col("a") * m < F.col("b") * (n * LEAST_LIFT)))
+    plain = sorted(r["term"] for r in common.select("term").collect())
+    matcher_args = (words, beginnings, family, plain)
 
     def rows():
         matcher = Matcher(*matcher_args)
 
         def f(ids, labels, texts):
-            return {"doc_id": ids, "toxic": labels, "x": [features(t, matcher) for t in texts]}
+            return {"doc_id": ids * 2, "toxic": labels * 2, "x": [features(t, matcher, edited) for edited in (False, True) for t in texts]}
 
         return f
 
@@ -317,8 +350,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     made.sort(key=lambda r: (str(r["doc_id"]), r["toxic"], r["x"]))
     y = np.array([r["toxic"] for r in made], float)
     balance = np.where(y == 1, counts[1] / n, counts[0] / m)  # as in all of train
-    weights, bias = _regression(np.array([r["x"] for r in made]), y, balance / balance.mean())
-    return Model(words, beginnings, weights, bias)
+    weights, bias = _regression(np.array([r["x"] for r in made]), y, balance / balance.mean() / 2)  # each text is there twice
+    return Model(words, beginnings, family, plain, weights, bias)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

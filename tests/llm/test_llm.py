@@ -69,6 +69,22 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.fit(empty, labels.limit(0)) is None and toxicity.score(empty, model).collect() == []
 
 
+def test_toxicity_misspelled(spark):
+    """Words misspelled by one edit, also inside the beginning that stands for their family, are as telling as the words."""
+    family = ["gorblak", "gorblimor", "gorbluster", "gorblendan"]
+    rows = [(i, f"some plain words about number {i} and a thing" + (f" {family[i // 4 % 4]}" if i % 4 == 0 else "")) for i in range(200)]
+    rows += [(1000, "some plain words and a grblimor"), (1001, "a gxrbluster here"), (1002, "a goorblendan here"), (1003, "a gorblmor here"), (1004, "a gobble and a garble here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, df.filter("doc_id < 200").select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert "gorbl" in [b[:5] for b in model.beginnings] or "gorb" in model.beginnings
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    assert all(score[i] >= 0.5 for i in range(1000, 1004)) and score[1004] == score[1] < 0.5
+    plain = [(i, f"some plain words about number {i} and a thing" + (" you dreadfool person" if i % 4 == 0 else "")) for i in range(200)] + [(1000, "what a dreadfol day")]
+    df = spark.createDataFrame(plain, "doc_id long, text string")
+    model = toxicity.fit(df, df.filter("doc_id < 200").select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert toxicity.score(df.filter("doc_id = 1000"), model).first()["score"] >= 0.5
+
+
 def test_toxicity_lexicon_past_copies(spark):
     """60 copies of one toxic text of 5,200 words, whose beginnings differ, don't take the places of the word in 20 other toxic texts."""
     abc = "abcdefghijklmnopqrst"
