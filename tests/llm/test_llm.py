@@ -227,6 +227,32 @@ def test_repetition(text):
     assert m["base_failed"] == (m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]) and not (m["base_failed"] and m["kept"])
 
 
+def test_repetition_method_decides():
+    """Texts that pass the base rule and only the method rejects: at length 10, and by short repeated phrases; plain ones are kept."""
+    plain = [f"word{i}" for i in range(100, 200)]
+    again = [f"again{i}" for i in range(9)] + ["x"]
+    two = [w for i, w in enumerate(plain) for w in ([w, "buy", "cheapthings"] if i % 5 == 0 else [w])]
+    three = [w for i, w in enumerate(plain) for w in ([w, "buy", "it", "now!!!!"] if i % 6 == 0 else [w])]
+    four = [w for i, w in enumerate(plain) for w in ([w, "buy", "it", "now", "friends"] if i % 9 == 0 else [w])]
+    for words in (plain[:60] + again + plain[60:] + again, two, three, four):
+        m = repetition.measure(" ".join(words))
+        assert not m["base_failed"] and not m["kept"]
+    m = repetition.measure(" ".join(plain[:50] + ["of", "the"] + plain[50:] + ["of", "the"]))
+    assert not m["base_failed"] and m["kept"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "ccc", "d"]), max_size=30), st.integers(2, 10))
+def test_repetition_windows(words, n):
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids, sizes = np.array([numbers[w] for w in words], np.int64), np.array([len(w) for w in words], np.int64)
+    grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+    ((_, hashes),) = repetition.windows(ids, [n])
+    inside = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + n)}
+    assert set(np.flatnonzero(repetition.inside_repeated(hashes, n, len(words)))) == inside
+    assert repetition.most_in_one(hashes, n, sizes) == max((grams.count(g) * len("".join(g)) for g in grams if grams.count(g) > 1), default=0)
+
+
 def test_repetition_rows(odd, empty):
     assert repetition.repetition(odd).count() == len(TEXTS) + 1
     assert repetition.repetition(empty).collect() == []
