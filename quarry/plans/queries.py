@@ -433,7 +433,7 @@ def subclusters(spark, sf_dir):
 
 @query()
 def anomalies(spark, sf_dir):
-    return cluster.anomalies(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), trees=100)
+    return cluster.anomalies(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")

@@ -89,6 +89,26 @@ def test_clusters(spark):
     assert not cluster.anomalies(df.limit(10)).collect()
 
 
+def test_forest_draws_from_all_rows(spark, monkeypatch):
+    """Each tree has its own rows of the whole table; the registered query grows the operator's 300 trees."""
+    import inspect
+
+    import pandas as pd
+
+    from quarry.plans import queries
+
+    keys = np.arange(5000, dtype=np.int64)
+    parts = [pd.DataFrame({"key": k}) for k in np.array_split(keys, 7)]
+    got = pd.concat(cluster._lowest(iter(parts), 60, 16))
+    whole = pd.concat(cluster._lowest(iter([pd.DataFrame({"key": keys[::-1]})]), 60, 16))
+    assert (got.groupby("tree").key.nunique() == 16).all() and got.key.nunique() > 16 * 16
+    assert set(map(tuple, got.values.tolist())) == set(map(tuple, whole.values.tolist()))
+    asked, real = [], cluster.outlier_scores
+    monkeypatch.setattr(cluster, "outlier_scores", lambda rows, **kw: asked.append(kw) or real(rows, **{**kw, "trees": 20}))
+    assert queries.anomalies(spark, "/root/testdata/sf0.001").count() == 8
+    assert asked[0].get("trees", inspect.signature(real).parameters["trees"].default) == 300
+
+
 def test_answers(spark):
     q = spark.createDataFrame([(1, "what?"), (2, "none?")], "query_id long, text string")
     hits = spark.createDataFrame([(1, 0, "t.pdf", "text", 0, 1, "RESULTS", "It is so [3]. Yes.")], "query_id long, rank int, title string, chunk_type string, page_start int, page_end int, section string, text string")
