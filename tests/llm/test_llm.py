@@ -211,6 +211,17 @@ def test_urls(spark):
     assert urlfilter.filter_urls(pages.limit(0)).collect() == []
 
 
+def test_urls_settle(spark):
+    """Distrust comes 20 links far, and round a cycle as the linear system has it."""
+    seeds = spark.createDataFrame([("block", "h0"), ("allow", "c0")], "kind string, host string")
+    chain = [(f"h{i + 1}", f"h{i}", 1) for i in range(20)]
+    links = spark.createDataFrame([*chain, ("c0", "c1", 1), ("c1", "c0", 3), ("c1", "c2", 1)], "src string, dst string, n long")
+    got = {(r["kind"], r["host"]): r["score"] for r in urlfilter.propagate(seeds, links).collect()}
+    assert all(abs(got["block", f"h{i}"] - 0.15 * 0.85**i) < 1e-5 for i in range(21)) and got["block", "h20"] > 0
+    want = np.linalg.solve(np.eye(3) - 0.85 * np.array([[0, 0.75, 0], [1, 0, 0], [0, 0.25, 0]]), [0.15, 0, 0])
+    assert all(abs(got["allow", f"c{i}"] - want[i]) < 1e-5 for i in range(3))
+
+
 def brute_repetition(text):
     words = repetition._WORD.findall(text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
