@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,45 +25,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine), a temporary folder is set.
+    Where the session names none, a local master gets a temporary folder; on a cluster, executors
+    wouldn't share it, so that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quarry-")
         sc.setCheckpointDir(found)
-    return found if "://" in found else f"file://{found}"
+    return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; what is still there when the application ends is deleted then."""
+    made = f"{shared_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    path, files = _file_system(spark, made)
+    files.deleteOnExit(path)
+    return made
+
+
+def _file_system(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 #: Removes a query's shuffle files once it has run; a written table needs them no more.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning: dict[str, tuple[int, str]] = {}
+_lock = threading.Lock()
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Holds _CLEANUP while at least one table is being written, and puts back what the session had before the first."""
+    key = spark._jsparkSession.sessionUUID()
+    with _lock:
+        users, before = _cleaning.get(key, (0, spark.conf.get(_CLEANUP, "false")))
+        _cleaning[key] = users + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            users, before = _cleaning[key]
+            _cleaning[key] = users - 1, before
+            if users == 1:
+                del _cleaning[key]
+                spark.conf.set(_CLEANUP, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: cuts lineage, survives lost executors, leaves no shuffle files."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what is at a path from scratch."""
+    found, files = _file_system(spark, path)
+    files.delete(found, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._scratch)
 
 
 def map_rows(df: DataFrame, columns: Sequence[str | Column], schema: str, start: Callable[[], Callable[..., dict]], rows: int = 512) -> DataFrame:

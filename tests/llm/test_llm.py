@@ -328,7 +328,7 @@ def test_jaccard_at_the_bound(spark, monkeypatch, rounds):
             cut = rng.integers(0, 1 + size // 6)
             rows.append((len(rows), " ".join(words[cut:] + [f"y{rng.integers(100_000)}" for _ in range(rng.integers(0, 1 + size // 12))])))
     if not rounds:
-        monkeypatch.setattr(jaccard, "likeliest", lambda near, *_: near.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")).limit(0))
+        monkeypatch.setattr(jaccard, "likeliest", lambda near, *_: near.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.col("set_id").alias("lead")).limit(0))
     found = components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert found == brute_components(rows)
     assert 10 < len({c for *_, c in found}) < len(rows)
