@@ -5,7 +5,9 @@ higher-order functions with a literal rank map. `encode` encodes whole texts in
 the same rank file, and decoding concatenates the ids' byte pieces. The query takes the second
 form; README gives the figures that rule the first one out for whole corpora.
 
-Null and empty texts have no ids. Repeated rows are encoded alike, each on its own. Other columns of the input are not looked at. An empty table gives no rows.
+Null and empty texts have no ids. Repeated rows are encoded alike, each on its own. Texts may be of any length; runs
+of white space that are too long for the library's pattern matcher are split off first. Other columns of the input
+are not looked at, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -23,6 +26,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import map_rows
 
+#: Runs of white space (Unicode's) that the library's matcher isn't given: it recurses once a character.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Byte piece -> rank of a rank file: a base64 piece and a number a line."""
     with open(path, "rb") as lines:
@@ -46,8 +53,18 @@ class Encoder:
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
+        """The ids as little-endian unsigned 32-bit integers.
+
+        The pattern takes a run of white space whole at the text's end, else all but its last character.
+        """
+        ids: list[int] = []
+        at = 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.bpe.encode_ordinary(text[at : run.start()])
+            ids += self.bpe._encode_single_piece(text[run.start() : end])
+            at = end
+        return np.array(ids + self.bpe.encode_ordinary(text[at:]), "<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         pieces = self.pieces

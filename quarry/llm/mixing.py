@@ -8,7 +8,8 @@ has a bounded number of rows however large the source is.
 
 A null text has size 0, a null source is a source of its own that comes last. Repeated rows count
 each on its own; equal keys are ordered by id and size, so that reruns agree. A source of size 0
-has target 0. An empty table gives no rows.
+has target 0. Texts may be of any length. Other columns of the input keep their values, whatever their names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,20 +86,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: int = 42) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time that a document is taken whole.
 
-    The one document a source at which the budget is cut comes with the words that are taken.
+    The one document a source at which the budget is cut comes with the beginning of its text, up to the end of the
+    last word that is taken; its n_chars, if docs has that column, is that beginning's. All other values stay as they are.
     """
-    sized = docs.withColumns({"size": size_of(F.col("text")), "key": key_of(F.col("doc_id"), seed)})
-    narrow = written(sized.select(F.col("doc_id").cast("long"), "source", "size", "key"), "sizes")
+    kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    sized = docs.select(kept, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key"))
+    narrow = written(sized.drop("row"), "sizes")
     n = narrow.count()
     made = taken_of(placed_rows(sized, n), placed_rows(narrow, n), weights, share, most).filter("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
     rest = (F.col("taken") - whole * F.col("size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
-    copies = F.concat(F.array_repeat(F.struct(F.col("text").alias("text"), F.lit(False).alias("cut")), whole), F.when(rest > 0, F.array(F.struct(cut.alias("text"), F.lit(True).alias("cut")))).otherwise(F.array().cast("array<struct<text:string,cut:boolean>>")))
-    out = made.withColumn("copy", F.explode(copies)).withColumn("text", F.col("copy.text"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), rest), "")
+    short = F.col("row").withField("text", cut)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("copy.cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        short = short.withField("n_chars", F.length(cut).cast(docs.schema["n_chars"].dataType))
+    copies = F.concat(F.array_repeat("row", whole), F.when(rest > 0, F.array(short)).otherwise(F.array_repeat("row", F.lit(0))))
+    return made.select(F.explode(copies).alias("row")).select("row.*")
 
 
 def oracle_sql(seed: int = 42) -> str:
