@@ -4,19 +4,21 @@ The lexicon is learned from labelled documents: words, and word beginnings that
 family of words, whose document frequency among toxic texts is too high for chance. It is held in a
 trie. A text's distinct words are run through the trie together with a Levenshtein automaton, which
 finds terms that are misspelled by one edit; of a beginning, it looks for the words of its family that
-several toxic texts have. Words that clean texts have of their own aren't taken for misspelled. Words around a hit then tell abuse from quotation: a
-hit in quotation marks or after a word of reporting counts for less, one beside a second person for
-more. A logistic regression turns a text's hits into a score; it learns from each text as it is and as if
+several toxic texts have. Words that clean texts have of their own aren't taken for misspelled. What
+stands around a hit then tells abuse from quotation: a hit inside paired quotation marks or after a word
+of reporting counts for less, one beside a second person for more. A logistic regression turns a text's hits into a score; it learns from each text as it is and as if
 its hits were misspelled, since few texts of a sample show a misspelling.
 
 Learning takes at most `per_class` texts of each label, by a hash of the id, and looks at equal ones once,
-with their highest label; the lexicon ends where no term is telling enough any more. Null and empty texts have no hits and get the score of a text without hits, and
-with nothing to learn from every score is 0. A document labelled more than once has its highest
+with their highest label; the lexicon ends where no term is telling enough any more. Null and empty texts
+have no hits and get the score of a text without hits, and with nothing to learn from every score is 0. Texts
+are read whole, however long. Other columns of the inputs are not looked at, whatever their names. A document labelled more than once has its highest
 label, null labels don't count. Repeated rows are scored alike. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 import re
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_rows, unit, written
+from quarry.llm.common import discard, map_rows, unit, written
 
 PER_CLASS = 4000
 #: A term's log-likelihood ratio must be at least this, and it must be this much likelier in toxic texts.
@@ -46,7 +48,25 @@ WINDOW = 3
 REPORTING = frozenset("said says called calls wrote quote quoted word term dit disait mot sagte nannte wort dijo llamó palabra".split())
 SECOND = frozenset("you your youre u du dein dich ihr euch tu toi ton vous votre usted tú ti".split())
 _TOKEN = re.compile(r"[^\W_]+")
-_OPEN, _CLOSE = frozenset("\"“„«‚‘"), frozenset("\"”“»’")
+# Each opening quotation mark with the marks that close it.
+QUOTES = {'"': '"', "\u201c": "\u201d", "\u201e": "\u201c\u201d", "\u00ab": "\u00bb", "\u00bb": "\u00ab", "\u201a": "\u2018\u2019", "\u2018": "\u2019"}
+_MARK = re.compile("[\n" + "".join(sorted(set("".join(QUOTES) + "".join(QUOTES.values())))) + "]")
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where quotations begin and end: a mark that opens one is paired with the next that closes it in its line."""
+    spans: list[tuple[int, int]] = []
+    opened, at = "", 0
+    for m in _MARK.finditer(text):
+        mark = m[0]
+        if mark == "\n":
+            opened = ""
+        elif opened and mark in QUOTES[opened]:
+            spans.append((at, m.start()))
+            opened = ""
+        elif not opened and mark in QUOTES:
+            opened, at = mark, m.end()
+    return spans
 
 
 def build_trie(terms: dict[str, int]) -> dict:
@@ -93,7 +113,8 @@ def within_one(trie: dict, word: str) -> list[int]:
 class Matcher:
     """word -> (term number, exact?) or None. Words that share neither half with a term are passed by: an edit leaves one half whole."""
 
-    def __init__(self, words: list[str], beginnings: list[str], family: list[str], plain: list[str]):
+    def __init__(self, words: list[str], beginnings: list[str], family: list[str], plain: list[str], reporting: frozenset[str] = REPORTING, second: frozenset[str] = SECOND):
+        self.reporting, self.second = reporting, second
         self.exact = {w: i for i, w in enumerate(words)}
         self.beginnings = {b: len(words) + i for i, b in enumerate(beginnings)}
         self.sizes = sorted({len(b) for b in beginnings})
@@ -129,15 +150,12 @@ class Matcher:
         return {w: hit for w in words if (hit := known[w]) is not None}
 
 
-def context_weight(text: str, start: int, end: int) -> float:
-    """1 for a bare hit, a quarter inside quotation marks or after reporting, half as much again beside a second person."""
-    left, right = text[max(0, start - 40) : start], text[end : end + 40]
-    near = _TOKEN.findall(left)[-WINDOW:] + _TOKEN.findall(right)[:WINDOW]
-    opened = next((c for c in reversed(left) if c in _OPEN or c in _CLOSE), "")
-    closed = next((c for c in right if c in _OPEN or c in _CLOSE), "")
-    quoted = opened in _OPEN and closed in _CLOSE and bool(opened and closed)
-    weight = 0.25 if quoted or any(w in REPORTING for w in near[:WINDOW]) else 1.0
-    return weight * (1.5 if any(w in SECOND for w in near) else 1.0)
+def context_weight(text: str, start: int, end: int, quoted: bool, reporting: frozenset[str] = REPORTING, second: frozenset[str] = SECOND) -> float:
+    """1 for a bare hit, a quarter in a quotation or after a word of reporting, half as much again beside a second person."""
+    before = _TOKEN.findall(text[max(0, start - 60) : start])[-WINDOW:]
+    after = _TOKEN.findall(text[end : end + 60])[:WINDOW]
+    weight = 0.25 if quoted or not reporting.isdisjoint(before) else 1.0
+    return weight * (1.0 if second.isdisjoint(before) and second.isdisjoint(after) else 1.5)
 
 
 def features(text: str | None, matcher: Matcher, misspelled: bool = False) -> list[float]:
@@ -154,10 +172,13 @@ def features(text: str | None, matcher: Matcher, misspelled: bool = False) -> li
         return [0.0, 0.0, 0.0, 0.0]
     exact = fuzzy = 0.0
     total = 0
+    spans = quotations(low)
+    starts = [x for x, _ in spans]
     for m in _TOKEN.finditer(low):
         total += 1
         if (hit := hits.get(m[0])) is not None:
-            w = context_weight(low, m.start(), m.end())
+            span = bisect.bisect_right(starts, m.start()) - 1
+            w = context_weight(low, m.start(), m.end(), span >= 0 and m.end() <= spans[span][1], matcher.reporting, matcher.second)
             exact, fuzzy = (exact + w, fuzzy) if hit[1] else (exact, fuzzy + w)
     terms = len({h[0] for h in hits.values()})
     return [math.log1p(exact), math.log1p(fuzzy), math.log1p(terms), 10 * min(0.1, (exact + fuzzy) / total)]
@@ -169,11 +190,13 @@ class Model:
     beginnings: list[str]
     family: list[str]
     plain: list[str]
+    reporting: frozenset[str]
+    second: frozenset[str]
     weights: list[float]
     bias: float
 
     def scorer(self):
-        matcher, weights = Matcher(self.words, self.beginnings, self.family, self.plain), self.weights
+        matcher, weights = Matcher(self.words, self.beginnings, self.family, self.plain, self.reporting, self.second), self.weights
 
         def f(text: str | None) -> float:
             z = self.bias + sum(a * b for a, b in zip(weights, features(text, matcher), strict=True))
@@ -255,15 +278,21 @@ def covering(texts: list[list[str]], clean: dict[str, int], n: int, m: int) -> l
 
 
 def _regression(x: np.ndarray, y: np.ndarray, balance: np.ndarray) -> tuple[list[float], float]:
-    """Logistic regression by Newton's steps, with a small ridge; weights of hits are not negative."""
-    a = np.c_[x, np.ones(len(x))]
-    w = np.zeros(a.shape[1])
-    ridge = np.r_[np.full(x.shape[1], 0.5), 0.01]
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (balance * p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge), a.T @ (balance * (y - p)) - ridge * w)
-        w += np.clip(step, -3, 3)
-    return np.maximum(w[:-1], 0).tolist(), float(w[-1])
+    """Logistic regression by Newton's steps, with a small ridge; weights of hits are not negative: a feature that gets a negative one is left out and the rest fitted again."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        a = np.c_[x[:, used], np.ones(len(x))]
+        w = np.zeros(a.shape[1])
+        ridge = np.r_[np.full(used.sum(), 0.5), 0.01]
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            step = np.linalg.solve((a * (balance * p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge), a.T @ (balance * (y - p)) - ridge * w)
+            w += np.clip(step, -3, 3)
+        if (w[:-1] >= 0).all():
+            out = np.zeros(x.shape[1])
+            out[used] = w[:-1]
+            return out.tolist(), float(w[-1])
+        used[np.flatnonzero(used)[np.argmin(w[:-1])]] = False
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame | None, dict[int, int]]:
@@ -285,8 +314,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataF
     return written(once, "toxic-sample"), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """Terms and weights from at most per_class labelled documents of each label, about."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, reporting: frozenset[str] = REPORTING, second: frozenset[str] = SECOND) -> Model | None:
+    """Terms and weights from at most per_class labelled documents of each label, about; reporting and second are the words that tell contexts."""
     sample, counts = sample_of(docs, labels, per_class)
     seen = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()} if sample is not None else {}
     n, m = seen.get(1, 0), seen.get(0, 0)
@@ -336,7 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     edited = map_rows(sample, [F.col("toxic").cast("int"), F.col("text")], "term string, toxic int", edited_words, rows=128)
     common = edited.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter((F.col("b") >= FAMILY_TEXTS) & (F.col("a") * m < F.col("b") * (n * LEAST_LIFT)))
     plain = sorted(r["term"] for r in common.select("term").collect())
-    matcher_args = (words, beginnings, family, plain)
+    matcher_args = (words, beginnings, family, plain, reporting, second)
 
     def rows():
         matcher = Matcher(*matcher_args)
@@ -351,7 +380,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     y = np.array([r["toxic"] for r in made], float)
     balance = np.where(y == 1, counts[1] / n, counts[0] / m)  # as in all of train
     weights, bias = _regression(np.array([r["x"] for r in made]), y, balance / balance.mean() / 2)  # each text is there twice
-    return Model(words, beginnings, family, plain, weights, bias)
+    discard(sample)
+    return Model(*matcher_args, weights, bias)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
