@@ -9,8 +9,11 @@ of a member that isn't wanted is neither read nor inflated. Option payload=false
 Members without that field and plain archives are read too.
 
 Null values leave their header out, a null payload is empty. Control characters in header values
-are percent-encoded. Empty tables make a manifest without files. Files are opened through
-pyarrow's file systems by the path's scheme.
+are percent-encoded. Empty tables make a manifest without files. Other columns of the input are not
+written, whatever their names; repeated rows make a record each. Payloads may be as long as a binary value;
+members too long for the extra field go without it. Python workers have no Hadoop, so files are opened
+through pyarrow's file systems by the path's scheme: local files, hdfs and viewfs, s3 (also as s3a and s3n),
+gs, abfs and abfss; any other scheme is an error that says so.
 """
 
 from __future__ import annotations
@@ -39,11 +42,26 @@ SCHEMA = "warc_type string, record_id string, target_uri string, warc_date strin
 ARROW = pa.schema([(c, pa.int64() if c == "payload_bytes" else pa.binary() if c == "payload" else pa.string()) for c in [*HEADERS, "payload"]])
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = 4096
+#: What the extra field's numbers are below.
+MOST_FIELD = 1 << 32
 _WINDOW = 1 << 22
 
 
+#: Hadoop's names of schemes that pyarrow has under another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path)) if not path.startswith("file:") else fs.FileSystem.from_uri("file://" + path[5:])
+    """The file system of a path or URI, and the path in it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"WARC files can't be opened at {path}: pyarrow has no file system for {scheme}:") from e
 
 
 def _plain(value: object) -> str:
@@ -71,7 +89,9 @@ def member(data: bytes, level: int = 1) -> bytes:
     squeezer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = squeezer.compress(data) + squeezer.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    fits = max(size, len(data)) < MOST_FIELD
+    extra = struct.pack("<H2sHII", 12, b"sl", 8, size, len(data)) if fits else b""
+    return b"\x1f\x8b\x08" + (b"\x04" if fits else b"\0") + b"\0\0\0\0\0\xff" + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 @dataclass
@@ -172,12 +192,17 @@ def records(file: pa.NativeFile, wanted) -> Iterator[tuple[dict[str, str], bytes
         if found is None:
             return
         headers, body = found
-        if (want := wanted(headers)) or not known:
+        if (want := wanted(headers)) or not known:  # without a length, an unwanted member is inflated for its end, piece by piece
             parts = [text]
             while not inflate.eof and pos < view.size:
                 data = view.get(pos, _WINDOW if not known else max(1, at + known - pos))
                 pos += len(data)
-                parts.append(inflate.decompress(data))
+                if want:
+                    parts.append(inflate.decompress(data))
+                    continue
+                while data and not inflate.eof:
+                    inflate.decompress(data, _WINDOW)
+                    data = inflate.unconsumed_tail
             text = b"".join(parts)
         yield headers, text[body : body + int(headers.get("content-length", 0))] if want else None
         at = at + known if known else pos - len(inflate.unused_data)
@@ -257,8 +282,10 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to the session. Pushdown to Python sources is switched on unless the session says otherwise."""
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if "spark.sql.python.filterPushdown.enabled" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def write_warc(rows: DataFrame, path: str) -> None:
@@ -272,20 +299,16 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-#: Parts that copies of one payload are dealt to, so that a third of all rows can be copies.
-SALTS = 32
-
-
 def as_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """A record for each of pages (page_id, url, html): equal payloads of least_bytes or more are revisits of the smallest id.
 
-    A null id is never the smallest; rows that repeat the smallest id are responses too.
+    A null id is never the smallest; rows that repeat the smallest id are responses too. Only payloads with
+    copies are joined back, once each; a payload that a third of all rows have is a skewed key of that join alone, which adaptive execution splits.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    firsts = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
-    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(firsts, ["digest", "salt"], "left")
+    firsts = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").drop("n")
+    rows = rows.join(firsts, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     return rows.select(
