@@ -7,18 +7,21 @@ as a share of how far they could: a score between 0 (nothing shared) and 1 (equa
 
 Null texts count as empty; texts of under three bytes are padded by zero bytes, and empty texts
 have the digest of no triplets, which is like itself only. Documents follow each other by
-descending id, nulls last, equal ids by text; repeated rows keep a row each. A single document is
-its own next one. An empty table gives no rows.
+descending id, nulls last, equal ids by descending hash of the text; repeated rows keep a row each.
+A single document is its own next one. Texts may be of any length. Other columns of the input are not looked at, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -27,6 +30,8 @@ BUCKETS = 128
 #: Which bytes of a five-byte window make a triplet.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 _CHUNK = 1 << 20
+#: Bytes of input for which the texts are dealt to one more range, and how many ranges there are at most.
+RANGE_BYTES, MOST_RANGES = 128 << 20, 50_000
 _FACTORS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
@@ -88,40 +93,64 @@ def edited(text: str, following: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _range_of(bounds: list[int]):
-    """The number of bounds below doc_id, by binary search in a literal array."""
+KEY = "struct<known:int,id:bigint,hash:bigint>"
+
+
+def _literal(values: list, kind: str) -> Column:
+    """An array literal; Spark folds it once."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _range_of(bounds: list[tuple[int, int, int]]) -> Column:
+    """The number of bounds below a row's key, by binary search in a literal array."""
     if not bounds:
         return F.lit(0)
-    array, step, steps = F.array(*[F.lit(b).cast("long") for b in bounds]), 1, []
+    array, step, steps = _literal([dict(zip(("known", "id", "hash"), b, strict=True)) for b in bounds], KEY), 1, []
     while step <= len(bounds):
         steps.insert(0, step)
         step *= 2
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, s: F.when((low + s <= len(bounds)) & (F.get(array, low + s - 1) < F.col("doc_id")), low + s).otherwise(low))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, s: F.when((low + s <= len(bounds)) & (F.get(array, low + s - 1) < F.col("key")), low + s).otherwise(low))
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """Keys that cut rows into about so many equal ranges. An id with the rows of several ranges, or the rows without one, are cut by the texts' hashes."""
+    total, known = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    share = round(parts * (total - known) / max(total, 1))
+    found = Counter(int(x) for x in rows.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)) if parts > 1 else {}
+    inside = lambda n: [-(1 << 63) + i * ((1 << 64) // n) for i in range(1, n)]
+    out = [(0, 0, h) for h in inside(share)] + [(0, 0, (1 << 63) - 1)] * (share > 0)
+    for v, n in sorted(found.items()):
+        out += [(1, v, h) for h in inside(n)] + [(1, v, (1 << 63) - 1)]
+    return out
 
 
-def beside_next(docs: DataFrame) -> DataFrame:
+def beside_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, text, range, context: each range's rows by descending id, then the row that follows its last one.
 
-    One shuffle of the texts. Ranges come from quantiles of the ids; only each range's highest row goes to
-    two ranges.
+    One shuffle of the texts. There is a range for so many bytes of input, and for each shuffle partition at least;
+    only each range's highest row goes to two ranges.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = 0 if size >= 1 << 60 else size  # Spark's guess for inputs of unknown size
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // range_bytes))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    placed = rows.withColumn("range", _range_of(sorted({int(x) for x in found})))
-    tops = {r["range"]: r["top"] for r in placed.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
+    key = F.struct(F.col("doc_id").isNotNull().cast("int").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
+    bounds = _bounds(rows, parts)
+    placed = rows.withColumn("key", key).withColumn("range", _range_of(bounds))
+    tops = {r["range"]: r["top"] for r in placed.groupBy("range").agg(F.max("key").alias("top")).collect()}
     if not tops:
-        return placed.withColumn("context", F.lit(False))
+        return placed.select("doc_id", "text", "range", F.lit(False).alias("context"))
     order = sorted(tops)
     target = dict(zip(order, order[1:] + order[:1], strict=True))
     span = range(order[-1] + 1)
-    top_of = F.get(F.array(*[F.lit(tops.get(i)).cast("long") for i in span]), F.col("range"))
-    goes_to = F.get(F.array(*[F.lit(target.get(i)).cast("int") for i in span]), F.col("range"))
+    top_of = F.get(_literal([tops[i].asDict() if i in tops else None for i in span], KEY), F.col("range"))
+    goes_to = F.get(_literal([target.get(i) for i in span], "int"), F.col("range"))
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("context"))
-    places = F.when(F.col("doc_id").eqNullSafe(top_of), F.array(own, F.struct(goes_to.alias("range"), F.lit(True).alias("context")))).otherwise(F.array(own))
-    dealt = placed.withColumn("place", F.explode(places)).select("doc_id", "text", "place.range", "place.context")
-    return dealt.repartitionById(parts, F.col("range").cast("int")).sortWithinPartitions("range", "context", F.col("doc_id").desc_nulls_last(), "text")
+    places = F.when(F.col("key").eqNullSafe(top_of), F.array(own, F.struct(goes_to.alias("range"), F.lit(True).alias("context")))).otherwise(F.array(own))
+    dealt = placed.withColumn("place", F.explode(places)).select("doc_id", "text", "key", "place.range", "place.context")
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("range").cast("int")).sortWithinPartitions("range", "context", F.col("key").desc(), "text")
+    return dealt.select("doc_id", "text", "range", "context")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
