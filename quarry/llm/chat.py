@@ -6,7 +6,8 @@ formatted text can be parsed back into the same turns. All of it is DataFrame ex
 
 A null text is empty, a null role is the empty role. Turns are ordered by turn, ties by role and
 text; repeated rows stay. Rows whose conversation id is null form one conversation. An empty table
-gives no rows. A conversation is one formatted text by definition, so it is gathered whole.
+gives no rows. A conversation is one formatted text by definition, so it is gathered whole; texts may be of any
+length that fits in it. Other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations

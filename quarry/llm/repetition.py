@@ -6,7 +6,8 @@ in words, and so are the characters of repeated lines. Of short n-grams, which a
 the one with most characters in its occurrences counts.
 
 Null and empty texts have no words: all counts are 0, base_failed is true and kept false. Repeated
-rows are measured alike, each on its own. Other columns of the input are not looked at.
+rows are measured alike, each on its own. Texts are measured whole, however long. Other columns of the input are not
+looked at, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
