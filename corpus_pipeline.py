@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages; each works on the documents that the one before kept."""
+"""A corpus pipeline of five stages; each works on the documents that the one before kept.
+
+Null texts and texts without a letter go at the first stage, so that the next ones see none of them. Empty tables
+pass through. Repeated rows are judged alike until the third stage, which keeps one of them. All stages but the last
+carry every column of documents, whatever further ones there are and however they are named. Texts are read whole.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, jaccard, langid, mixing, toxicity
-from quarry.llm.common import crc_mod, table, written
+from quarry.llm.common import crc_mod, discard, table, written
 from quarry.llm.queries import RANKS
 
 
+def _kept(docs: DataFrame, test) -> DataFrame:
+    """The rows of docs for which test (a function of the text's column) is true; a row is carried as one struct, so that no name can clash."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"))
+    return rows.filter(test(F.col("text"))).select("row.*")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null texts and texts without a letter."""
     model = langid.fit(docs.filter(crc_mod("doc_id", 4) != 2))
-    return docs.withColumn("_lang", langid.language_column(F.col("text"), model)).filter(F.col("_lang") != langid.UNKNOWN).drop("_lang")
+    return _kept(docs, lambda text: langid.language_column(text, model) != langid.UNKNOWN)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.5 or more."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0))
-    return docs.withColumn("_score", toxicity.score_column(F.col("text"), model)).filter("_score < 0.5").drop("_score")
+    return _kept(docs, lambda text: toxicity.score_column(text, model) < 0.5)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again; a stage's table goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
