@@ -11,7 +11,8 @@ its hits were misspelled, since few texts of a sample show a misspelling.
 
 Learning takes at most `per_class` texts of each label, by a hash of the id, and looks at equal ones once,
 with their highest label; the lexicon ends where no term is telling enough any more. Null and empty texts
-have no hits and get the score of a text without hits, and with nothing to learn from every score is 0. Texts
+have no hits and get the score of a text without hits, and with nothing to learn from, or no telling term, every
+score is 0. Texts
 are read whole, however long. Other columns of the inputs are not looked at, whatever their names. A document labelled more than once has its highest
 label, null labels don't count. Repeated rows are scored alike. An empty table gives no rows.
 """
@@ -346,6 +347,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, reportin
 
     rows_ = map_rows(sample.filter("toxic = 1"), [F.col("text")], "words array<string>", words_of, rows=128).collect()
     chosen = covering([r["words"] for r in rows_], clean, n, m)
+    if not chosen:
+        discard(sample)
+        return None
     words, beginnings = [t[1:] for t in chosen if t[0] == "="], [t[1:] for t in chosen if t[0] == "^"]
     begun = F.lit(False)
     for k in BEGINNINGS:

@@ -12,7 +12,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quarry.llm import bpe, chat, fingerprint, jaccard, langid, mixing, repetition, toxicity, urlfilter, warc
 from quarry.llm.queries import QUERIES, RANKS, SQL
 
@@ -368,19 +367,3 @@ def test_jaccard_at_the_bound(spark, monkeypatch, rounds):
 def test_jaccard_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    first = corpus_pipeline.known_language(spark, docs, SF)
-    assert first.columns == docs.columns and first.count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
-    clean = corpus_pipeline.not_toxic(spark, first, SF)
-    assert clean.columns == docs.columns
-    one = corpus_pipeline.without_near_copies(spark, clean, SF)
-    ids = {c for _, n, c in brute_components([(r["doc_id"], r["text"]) for r in clean.collect()])}
-    assert {r["doc_id"] for r in one.collect()} == ids
-    mixed = corpus_pipeline.mixed(spark, one, SF)
-    assert mixed.columns == docs.columns
-    done = corpus_pipeline.run(spark, SF).toPandas()
-    assert len(done) == mixed.count() and (done.n_tokens > 0).all()
-    assert QUERIES and len(corpus_pipeline.STAGES) == 5
