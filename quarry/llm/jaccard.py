@@ -316,14 +316,14 @@ def fetched(docs: DataFrame, ids: DataFrame, classes: DataFrame, clashing: froze
                 if len(found) and (key := told_apart(set_id(found, bits), clashing)) not in keys:
                     keys.add(key)
                     out["set_id"].append(key)
-                    out["tokens"].append(found.tobytes())
+                    out["tokens"].append(found.view(np.int64))
             if len(keys) > 1_000_000:
                 keys.clear()
             return out
 
         return f
 
-    made = written(map_rows(rows, [F.col("text")], "set_id long, tokens binary", start), "sets")
+    made = written(map_rows(rows, [F.col("text")], "set_id long, tokens array<long>", start, rows=64), "sets")
     discard(wanted)
     return made
 
@@ -339,21 +339,8 @@ class Compared:
         ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         sets = self._fetch(ids)
         both = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
-        percent = self.percent
-
-        def start():
-            def f(a, b, lead, n, m, xs, ys):
-                rows = []
-                for *row, x, y in zip(a, b, lead, n, m, xs, ys, strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if not linked or 100 * common >= percent * (len(x) + len(y) - common):
-                        rows.append((*row, common))
-                return dict(zip(("a", "b", "lead", "n_a", "n_b", "common"), map(list, zip(*rows, strict=True)) if rows else [[]] * 6, strict=True))
-
-            return f
-
-        out = written(map_rows(both, ["a", "b", "lead", "n_a", "n_b", "x", "y"], "a long, b long, lead long, n_a long, n_b long, common long", start), "compared")
+        both = both.select("a", "b", "lead", "n_a", "n_b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
+        out = written(both.filter((100 + self.percent) * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b"))) if linked else both, "compared")
         discard(sets)
         return out
 
