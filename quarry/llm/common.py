@@ -51,35 +51,38 @@ def _file_system(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-#: Removes a query's shuffle files once it has run; a written table needs them no more.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_cleaning: dict[str, tuple[int, str]] = {}
+#: Session settings that hold while tables are written. Shuffle files go once a query has run, as a written table needs
+#: them no more; fewer rows than Spark's 10,000 go to Python at once, as texts may be long: both sides hold a batch or two in memory.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
+_writers: dict[str, tuple[int, dict[str, str]]] = {}
 _lock = threading.Lock()
 
 
 @contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    """Holds _CLEANUP while at least one table is being written, and puts back what the session had before the first."""
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Holds _SETTINGS while at least one table is being written, and puts back what the session had before the first."""
     key = spark._jsparkSession.sessionUUID()
     with _lock:
-        users, before = _cleaning.get(key, (0, spark.conf.get(_CLEANUP, "false")))
-        _cleaning[key] = users + 1, before
-        spark.conf.set(_CLEANUP, "true")
+        users, before = _writers.get(key) or (0, {k: spark.conf.get(k, None) for k in _SETTINGS})
+        _writers[key] = users + 1, before
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
     try:
         yield
     finally:
         with _lock:
-            users, before = _cleaning[key]
-            _cleaning[key] = users - 1, before
+            users, before = _writers[key]
+            _writers[key] = users - 1, before
             if users == 1:
-                del _cleaning[key]
-                spark.conf.set(_CLEANUP, before)
+                del _writers[key]
+                for k, v in before.items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: cuts lineage, survives lost executors, leaves no shuffle files."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    with _cleaned(spark):
+    with _settings(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

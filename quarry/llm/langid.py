@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,11 +170,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def language_column(text: Column, model: Model | None) -> Column:
     """The predicted language beside a document's other columns."""
 
-    @F.pandas_udf("string")
-    def languages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def languages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = model and model.scorer()
         for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch]
-            yield pd.Series([x for at in range(0, len(texts), 256) for x in judge(texts[at : at + 256], model, scorer)[0]], dtype=object)
+            made = [x for at in range(0, len(batch), 256) for x in judge(batch.slice(at, 256).to_pylist(), model, scorer)[0]]
+            yield pa.array(made, pa.string())
 
     return languages(text)

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -401,10 +401,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def score_column(text: Column, model: Model | None) -> Column:
     """The score beside a document's other columns."""
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = model.scorer() if model else lambda _: 0.0
         for batch in batches:
-            yield pd.Series([scorer(t if isinstance(t, str) else None) for t in batch], dtype=float)
+            yield pa.array([scorer(t) for at in range(0, len(batch), 256) for t in batch.slice(at, 256).to_pylist()], pa.float64())
 
     return scores(text)
