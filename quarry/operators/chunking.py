@@ -51,7 +51,8 @@ def chunk_tables(tables: DataFrame, segments: DataFrame) -> DataFrame:
 def numbered(chunks: DataFrame) -> DataFrame:
     """Adds gid, from 0 by paper, text chunks before tables, and their numbers.
 
-    Numbers run on over ranges of papers: counts of papers are added up first, so no task gets all rows.
+    Chunks are numbered inside their papers. Where a paper's numbers begin is a running sum over one row a paper,
+    which one task adds up; the chunks themselves never meet in one task.
     """
     parts = chunks.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
     before = parts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("paper_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("paper_id", "before")
@@ -70,6 +71,13 @@ def section_profile(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("section").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("section", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+def unknown_sections(chunks: DataFrame) -> DataFrame:
+    """One row: sections (sorted, without repeats), n, unknown, share of chunks whose section is UNKNOWN."""
+    unknown = F.sum((F.coalesce("section", F.lit("UNKNOWN")) == "UNKNOWN").cast("long"))
+    sections = F.array_sort(F.collect_set(F.coalesce("section", F.lit("UNKNOWN"))))
+    return chunks.agg(F.array_join(sections, " ").alias("sections"), F.count(F.lit(1)).alias("n"), F.coalesce(unknown, F.lit(0)).alias("unknown"), (unknown / F.count(F.lit(1))).alias("share"))
+
+
 def record_fingerprint(chunks: DataFrame, prefix: int = 200) -> DataFrame:
     """One row: SHA-256 over the chunks' records in order of gid. It gathers a digest a chunk; corpus_digest does not."""
     record = F.concat_ws("|", "chunk_id", "paper_id", "chunk_type", "page_start", "page_end", "section", F.length("text"), F.substring("text", 1, prefix))

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Questions that are sent to the tasks at once; more are taken in blocks of as many.
-BLOCK = 4096
+#: Questions that are sent to the tasks at once, a few MB; more are taken in turns of about as many.
+BLOCK = 16_384
+#: Questions and vectors whose products are held at once.
+QUESTIONS, VECTORS = 1024, 1024
 
 
 def predicate(section_in: list[str] | None = None, paper_id_in: list[str] | None = None, strict: bool = False, **equal) -> Column:
@@ -32,29 +34,44 @@ def predicate(section_in: list[str] | None = None, paper_id_in: list[str] | None
     return out
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row by score, then by id; columns are cut to those that may be among them first."""
+    if scores.shape[1] > 2 * k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        may = (scores >= least[:, None]).any(0)
+        ids, scores = ids[:, may], scores[:, may]
+    top = np.lexsort((ids, -scores))[:, :k]
+    return np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+
+
 def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = 120, where: Column | None = None) -> DataFrame:
     """query_id, gid, score, pos: the k most alike by cosine of unit vectors, exactly.
 
-    A block of questions meets all vectors, batch by batch; each batch passes on its own k best a question.
+    A block of questions meets all vectors, a small product at a time; each task holds its k best a question
+    and passes them on once, at its end.
     """
     rows = (vectors.filter(where) if where is not None else vectors).select(F.col("gid").cast("long"), "vector")
-    asked = questions.select(F.col("query_id").cast("long"), "vector").orderBy("query_id")
+    asked = questions.select(F.col("query_id").cast("long"), "vector")
+    turns = max(1, -(-asked.count() // BLOCK))
     out = None
-    pages = range(0, max(1, -(-asked.count() // BLOCK)))
-    for page in pages:
-        block = asked.offset(page * BLOCK).limit(BLOCK).collect()
+    for turn in range(turns):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).collect()
         ids = np.array([r["query_id"] for r in block], np.int64)
         matrix = np.array([r["vector"] for r in block], np.float64)
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            parts = [slice(at, at + QUESTIONS) for at in range(0, len(ids), QUESTIONS)]
+            held = [(np.zeros((len(ids[p]), 0), np.int64), np.zeros((len(ids[p]), 0))) for p in parts]
             for batch in batches:
-                gids = batch.column(0).to_numpy(zero_copy_only=False)
-                if not len(gids) or not len(ids):
-                    continue
-                values = np.array(batch.column(1).to_pylist(), np.float64)
-                scores = np.round(matrix @ values.T, 6) + 0.0
-                top = np.lexsort((np.broadcast_to(gids, scores.shape), -scores))[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(gids[top].ravel()), pa.array(np.take_along_axis(scores, top, 1).ravel())], names=["query_id", "gid", "score"])
+                for at in range(0, batch.num_rows, VECTORS):
+                    piece = batch.slice(at, VECTORS)
+                    gids = piece.column(0).to_numpy(zero_copy_only=False)
+                    values = np.array(piece.column(1).to_pylist(), np.float64)
+                    for i, p in enumerate(parts):
+                        scores = np.round(matrix[p] @ values.T, 6) + 0.0
+                        held[i] = _best(np.c_[held[i][0], np.broadcast_to(gids, scores.shape)], np.c_[held[i][1], scores], k)
+            for p, (gids, scores) in zip(parts, held, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[p], gids.shape[1])), pa.array(gids.ravel()), pa.array(scores.ravel())], names=["query_id", "gid", "score"])
 
         part = rows.mapInArrow(run, "query_id long, gid long, score double")
         out = part if out is None else out.unionByName(part)

@@ -36,14 +36,15 @@ def lines_from_words(words: DataFrame, keys: list[str] = PAGE, y_tol: float = 2.
 def column_split(words: DataFrame, least: int = 80, candidates: int = 31) -> DataFrame:
     """paper_id, page, split_x: the gutter of pages in two columns; no row for others.
 
-    Each of some evenly spaced places is scored by the words that cross it, then by the centres near it.
+    Each of some evenly spaced places is scored by the words that cross it, then by the centres near it; every word,
+    crossing or not, counts for the side that its centre is on.
     """
     x = F.explode(F.transform(F.sequence(F.lit(0), F.lit(candidates - 1)), lambda i: F.col("page_width") * (F.lit(0.35) + F.lit(0.30) * i / (candidates - 1)))).alias("sx")
     sized = words.filter("page_width > 0").withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*PAGE))).filter(F.col("n") >= least).withColumn("mid", (F.col("x0") + F.col("x1")) / 2)
     tried = sized.select("*", x)
     cross = (F.col("x0") < F.col("sx")) & (F.col("x1") > F.col("sx"))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    scored = tried.groupBy(*PAGE, "sx").agg(F.max("n").alias("n"), one(cross).alias("crossing"), one(F.abs(F.col("mid") - F.col("sx")) <= 10).alias("near"), one(~cross & (F.col("mid") < F.col("sx"))).alias("left"), one(~cross & (F.col("mid") >= F.col("sx"))).alias("right"))
+    scored = tried.groupBy(*PAGE, "sx").agg(F.max("n").alias("n"), one(cross).alias("crossing"), one(F.abs(F.col("mid") - F.col("sx")) <= 10).alias("near"), one(F.col("mid") < F.col("sx")).alias("left"), one(F.col("mid") >= F.col("sx")).alias("right"))
     best = scored.groupBy(*PAGE).agg(F.min_by(F.struct("sx", "n", "crossing", "left", "right"), F.struct(F.col("crossing") * 10000 + F.col("near"), F.col("sx"))).alias("b")).select(*PAGE, "b.*")
     quarter = F.floor(F.col("n") * 0.25)
     return best.filter((F.col("crossing") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.02))) & (F.col("left") >= quarter) & (F.col("right") >= quarter)).select(*PAGE, F.col("sx").alias("split_x"))

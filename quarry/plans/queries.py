@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import chunking, cluster, dense, layout, lexical, sections
-from quarry.plans import search
+from quarry.plans import index, search
 from quarry.sources import tables
 
 QUERIES: dict = {}
@@ -72,7 +73,19 @@ def spaced_letter_flags(spark, sf_dir):
     return inline(spark, "id int, line string", LINES).select("id", T.looks_spaced(F.col("line")).alias("spaced"))
 
 
-@query()
+def _despaced(rows: str) -> str:
+    """id, line of rows (id, line): runs of five or more single letters joined in lines of eight tokens or more."""
+    text = "string_agg(CASE WHEN letter AND n >= 5 THEN replace(part, ' ', '') ELSE part END, ' ' ORDER BY run)"
+    for p, to in (rf"{S}+([,.;:!?])", r"\1"), (rf"\({S}+", "("), (rf"{S}+\)", ")"), (rf"{S}{{{{2,}}}}".replace("{{", "{").replace("}}", "}"), " "):
+        text = f"regexp_replace({text}, '{p}', '{to}', 'g')"
+    return rf"""SELECT l.id, CASE WHEN len({_WORDS}) < 8 THEN line ELSE joined END AS line FROM ({rows}) l(id, line) LEFT JOIN (
+        SELECT id, {STRIP.format(text)} AS joined FROM (SELECT id, run, letter, count(*) AS n, string_agg(t, ' ' ORDER BY i) AS part FROM (
+        SELECT *, sum(CASE WHEN letter = was THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS run FROM (SELECT *, lag(letter) OVER (PARTITION BY id ORDER BY i) AS was FROM (
+        SELECT *, regexp_full_match(t, '\pL') AS letter FROM (SELECT id, unnest(w) AS t, unnest(range(len(w))) AS i FROM (SELECT id, {_WORDS} AS w FROM ({rows}) t(id, line))))))
+        GROUP BY id, run, letter) GROUP BY id) d ON l.id = d.id"""
+
+
+@query(_despaced(values(LINES)))
 def despacify(spark, sf_dir):
     return inline(spark, "id int, line string", LINES).select("id", T.despaced(F.col("line")).alias("line"))
 
@@ -160,7 +173,12 @@ def line_blacklist(spark, sf_dir):
     return sections.repeated_lines(doc_lines(spark, sf_dir))
 
 
-@query()
+_SPACED = f"len({_WORDS}) >= 8 AND len(list_filter({_WORDS}, x -> regexp_full_match(x, '\\pL'))) / len({_WORDS}) >= 0.55"
+
+
+@query(f"""WITH {_BLACK}, plain AS (SELECT paper_id, page, line_no, {STRIP.format("coalesce(line, '')")} AS line FROM lines), spaced AS (SELECT {{'p': paper_id, 'g': page, 'n': line_no}} AS id, line FROM plain WHERE {_SPACED}),
+    clean AS (SELECT paper_id, page, line_no, CASE WHEN {_SPACED} THEN (SELECT any_value(s.line) FROM ({_despaced("SELECT id, line FROM spaced")}) s WHERE s.id = {{'p': paper_id, 'g': page, 'n': line_no}}) ELSE line END AS line FROM plain)
+    SELECT paper_id, page, line_no, line FROM clean ANTI JOIN black USING (paper_id, line) WHERE line <> ''""")
 def body_lines(spark, sf_dir):
     lines = doc_lines(spark, sf_dir)
     return sections.body_lines(lines, sections.repeated_lines(lines))
@@ -237,7 +255,14 @@ def table_chunks(spark, sf_dir):
     return chunking.chunk_tables(inline(spark, CELL_TYPE, CELLS), inline(spark, SEGMENT_TYPE, SEGMENTS)).select("chunk_id", "text", "section")
 
 
-@query()
+#: Each of SEGMENTS has at most five short sentences, so that a chunk starts at each of them; the one that is a list of references makes none.
+_UNION = f"""WITH {_MD}, k AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY page, i) - 1 AS k FROM md), s AS ({_SECTIONS}),
+    x AS (SELECT paper_id, section, row_number() OVER (PARTITION BY paper_id ORDER BY seg, i) - 1 AS k FROM (SELECT *, unnest(range(len({SENTENCES.format('text')}))) AS i FROM ({values(SEGMENTS)}) t(paper_id, title, seg, section, text, a, b)) WHERE NOT (section = 'REFERENCES' AND regexp_matches(lower(text), '(^|\\n)\\s*(references|bibliography|literature cited)\\s*($|\\n)'))),
+    u AS (SELECT paper_id, 0 AS kind, k AS place, paper_id || '_textchunk_' || k AS chunk_id, section FROM x UNION ALL SELECT k.paper_id, 1, -1, k.paper_id || '_table_' || k, coalesce(section, 'UNKNOWN') FROM k LEFT JOIN s ON k.paper_id = s.paper_id AND k.page = s.page WHERE markdown <> '')
+    SELECT row_number() OVER (ORDER BY paper_id, kind, place, chunk_id) - 1 AS gid, chunk_id, section FROM u"""
+
+
+@query(_UNION)
 def chunk_union_gid(spark, sf_dir):
     segs = inline(spark, SEGMENT_TYPE, SEGMENTS)
     return chunking.all_chunks(chunking.chunk_segments(segs), chunking.chunk_tables(inline(spark, CELL_TYPE, CELLS), segs)).select("gid", "chunk_id", "section")
@@ -248,20 +273,32 @@ def section_profile(spark, sf_dir):
     return chunking.section_profile(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("L"), "label").alias("section")))
 
 
+WORD_TYPE = "paper_id string, page int, page_width double, page_height double, text string, x0 double, x1 double, top double, bottom double, size double"
+#: Pages: one of two columns with a spanning title, one of a few words, and two on which the words that cross the gutter decide, by their centres, whether a side has a quarter.
+PAGE_WORDS = [("p", 0, 600.0, 800.0, f"{side}{i}_{k}", x + 60.0 * k, x + 60.0 * k + 50, 100.0 + 12 * i, 110.0 + 12 * i, 10.0) for i in range(20) for side, x in (("l", 40.0), ("r", 330.0)) for k in range(4)]
+PAGE_WORDS += [("p", 0, 600.0, 800.0, "Spanning", 250.0, 350.0, 80.0, 90.0, 10.0), ("p", 0, 600.0, 800.0, "head", 40.0, 80.0, 30.0, 40.0, 10.0)]
+PAGE_WORDS += [("p", 1, 600.0, 800.0, t, x, x + 20, top, top + 10, 10.0) for t, x, top in (("in", 40.0, 60.0), ("ter", 61.0, 61.5), ("word", 83.0, 60.5), ("next", 40.0, 63.0), ("foot", 40.0, 735.0))]
+PAGE_WORDS += [("p", page, 600.0, 800.0, f"w{i}", x, x + 40, 100.0 + 5 * i, 110.0 + 5 * i, 10.0) for page, few in ((2, 22), (3, 24)) for i, x in enumerate([60.0] * (97 - few) + [400.0] * few)]
+PAGE_WORDS += [("p", page, 600.0, 800.0, f"c{i}", 170.0, 440.0, 600.0 + 5 * i, 610.0 + 5 * i, 10.0) for page in (2, 3) for i in range(3)]
+
+
 def page_words(spark) -> DataFrame:
-    """Two pages: one of two columns with a spanning title, and one of a few words."""
-    rows = [("p", 0, 600.0, 800.0, f"{side}{i}_{k}", x + 60.0 * k, x + 60.0 * k + 50, 100.0 + 12 * i, 110.0 + 12 * i, 10.0) for i in range(20) for side, x in (("l", 40.0), ("r", 330.0)) for k in range(4)]
-    rows += [("p", 0, 600.0, 800.0, "Spanning", 250.0, 350.0, 80.0, 90.0, 10.0), ("p", 0, 600.0, 800.0, "head", 40.0, 80.0, 30.0, 40.0, 10.0)]
-    rows += [("p", 1, 600.0, 800.0, t, x, x + 20, top, top + 10, 10.0) for t, x, top in (("in", 40.0, 60.0), ("ter", 61.0, 61.5), ("word", 83.0, 60.5), ("next", 40.0, 63.0), ("foot", 40.0, 735.0))]
-    return inline(spark, "paper_id string, page int, page_width double, page_height double, text string, x0 double, x1 double, top double, bottom double, size double", rows)
+    return inline(spark, WORD_TYPE, PAGE_WORDS)
 
 
-@query()
+_PAGE_WORDS = f"w AS (SELECT paper_id, CAST(page AS INT) AS page, CAST(page_width AS DOUBLE) AS page_width, CAST(page_height AS DOUBLE) AS page_height, text, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, CAST(top AS DOUBLE) AS top, CAST(bottom AS DOUBLE) AS bottom, CAST(size AS DOUBLE) AS size FROM ({values(PAGE_WORDS)}) t(paper_id, page, page_width, page_height, text, x0, x1, top, bottom, size)), k AS (SELECT * FROM w WHERE top >= 60 AND bottom <= page_height - 60)"
+
+
+@query(f"WITH {_PAGE_WORDS} SELECT * FROM k")
 def page_margin_filter(spark, sf_dir):
     return layout.inside_margins(page_words(spark))
 
 
-@query()
+@query(f"""WITH {_PAGE_WORDS}, n AS (SELECT paper_id, page, any_value(page_width) AS width, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 80 AND any_value(page_width) > 0),
+    c AS (SELECT paper_id, page, n, width * (0.35::DOUBLE + 0.30::DOUBLE * i / 30) AS sx FROM n, range(31) r(i)),
+    s AS (SELECT paper_id, page, sx, any_value(n) AS n, count(*) FILTER (x0 < sx AND x1 > sx) AS crossing, count(*) FILTER (abs((x0 + x1) / 2 - sx) <= 10) AS near, count(*) FILTER ((x0 + x1) / 2 < sx) AS lft FROM c JOIN k USING (paper_id, page) GROUP BY 1, 2, 3),
+    b AS (SELECT *, row_number() OVER (PARTITION BY paper_id, page ORDER BY crossing * 10000 + near, sx) AS r FROM s)
+    SELECT paper_id, page, sx AS split_x FROM b WHERE r = 1 AND crossing <= greatest(3, floor(0.02 * n)) AND lft >= floor(0.25 * n) AND n - lft >= floor(0.25 * n)""")
 def two_column_split(spark, sf_dir):
     return layout.column_split(layout.inside_margins(page_words(spark)))
 
@@ -290,7 +327,8 @@ _TOP = f"""{_BM25}, q AS (SELECT item_id AS query_id, token, count(*) AS qf FROM
 @query(f"WITH {_BM25} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(spark, sf_dir):
     docs = bm25_docs(spark, sf_dir)
-    return lexical.idf_table(lexical.postings(docs), lexical.corpus_stats(docs)).select("token", "df", F.round("idf", 6).alias("idf"))
+    words = lexical.vocabulary(lexical.postings(docs))
+    return lexical.idf_table(words, lexical.corpus_stats(docs, words)).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_TOP} SELECT query_id, gid, score, CAST(pos AS INT) AS pos FROM top WHERE pos <= 120")
@@ -362,12 +400,16 @@ def hybrid_search(spark, sf_dir):
     return search.hybrid_search(*document_vectors(spark, sf_dir)).drop("text")
 
 
-@query("""WITH h AS (SELECT item_id AS query_id, text AS q FROM benchmark), d AS (SELECT doc_id, text, '[Paper_' || source || ']' AS tag, lang, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) - 1 AS rank, doc_id % 40 AS query_id FROM documents)
-    SELECT query_id, CASE WHEN count(tag) > 0 THEN 'Use only the context below, and cite its tags.' || chr(10) || chr(10) || 'Context:' || chr(10) || chr(10) || string_agg(tag || ' type=text pages=0-0 section=' || lang || chr(10) || substr(text, 1, 1800), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)
-    || chr(10) || chr(10) || 'Question:' || chr(10) || any_value(q) || chr(10) || chr(10) || 'Tags: ' || array_to_string(list_sort(list(DISTINCT tag)), ' ') END AS prompt, array_to_string(list_sort(list(DISTINCT tag)), ' ') AS tags FROM h LEFT JOIN (SELECT * FROM d WHERE rank < 5) USING (query_id) GROUP BY query_id""".replace("array_to_string(list_sort(list(DISTINCT tag)), ' ') AS tags", "array_to_string(list_sort(list(DISTINCT tag) FILTER (tag IS NOT NULL)), ' ') AS tags"))
+_TAGS = "array_to_string(list_sort(list(DISTINCT tag)), ' ')"
+_PROMPT = f"""WITH {_TOP}, d AS (SELECT query_id, pos, text, '[Paper_' || source || ']' AS tag, lang FROM top JOIN documents ON doc_id = gid WHERE pos <= 8)
+    SELECT item_id AS query_id, CASE WHEN count(tag) > 0 THEN 'Use only the context below, and cite its tags.' || chr(10) || chr(10) || 'Context:' || chr(10) || chr(10) || string_agg(tag || ' type=text pages=0-0 section=' || lang || chr(10) || substr(coalesce(d.text, ''), 1, 1800), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos)
+    || chr(10) || chr(10) || 'Question:' || chr(10) || any_value(benchmark.text) || chr(10) || chr(10) || 'Tags: ' || {_TAGS} END AS prompt, CASE WHEN count(tag) > 0 THEN {_TAGS} END AS tags FROM benchmark LEFT JOIN d ON item_id = query_id GROUP BY item_id"""
+
+
+@query(_PROMPT)
 def prompt(spark, sf_dir):
-    hits = doc_chunks(spark, sf_dir).withColumn("query_id", F.col("gid") % 40).withColumn("rank", F.row_number().over(dense.W.partitionBy("query_id").orderBy("gid")) - 1).filter("rank < 5")
-    return search.build_prompts(hits, questions(spark, sf_dir))
+    found = lexical.bm25_topk(bm25_docs(spark, sf_dir), questions(spark, sf_dir), 8).select("query_id", "gid", F.col("pos").alias("rank"))
+    return search.build_prompts(found.join(doc_chunks(spark, sf_dir), "gid"), questions(spark, sf_dir))
 
 
 @query()
@@ -405,16 +447,17 @@ def representatives(spark, sf_dir):
     return cluster.representatives(*labelled(spark, sf_dir))
 
 
+_WORD = r"[0-9A-Za-z_À-ÿ]{2,}"
 _STOP = ["the", "of", "and", "la", "de", "die", "der", "que", "es", "to"]
 
 
-@query(f"""WITH t AS (SELECT source AS grp, doc_id AS id, list_filter(regexp_extract_all(lower(text), '{cluster.KEYWORD}'), w -> NOT list_contains({_STOP}, w)) AS w FROM documents),
+@query(f"""WITH t AS (SELECT source AS grp, doc_id AS id, list_filter(regexp_extract_all(lower(text), '{_WORD}'), w -> NOT list_contains({_STOP}, w)) AS w FROM documents),
     g AS (SELECT grp, id, unnest(list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))) AS term FROM t), tf AS (SELECT grp, id, term, count(*) AS tf FROM g GROUP BY 1, 2, 3),
     df AS (SELECT grp, term, count(*) AS df FROM tf GROUP BY 1, 2 HAVING count(*) >= 2), n AS (SELECT source AS grp, count(*) AS n FROM documents GROUP BY 1),
     x AS (SELECT grp, id, term, n, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN df USING (grp, term) JOIN n USING (grp)), s AS (SELECT grp, term, round(sum(x / nrm) / any_value(n), 6) AS score FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY grp, id)) AS nrm FROM x) GROUP BY 1, 2)
     SELECT grp, CAST(rank AS INT) AS rank, term, score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 12""")
 def keywords(spark, sf_dir):
-    return cluster.keywords(table(spark, sf_dir, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text"), stop_words=_STOP)
+    return cluster.keywords(table(spark, sf_dir, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text"), stop_words=_STOP, word=_WORD)
 
 
 def _clustered(spark, sf_dir, k: int = 8) -> DataFrame:
@@ -456,9 +499,43 @@ def vector_upsert(spark, sf_dir):
     return tables.upserted(old, old.filter("gid % 7 = 0").withColumn("version", F.lit("new")))
 
 
-@query()
+LINKS = [(0, '<link format="pdf" href="ftp://a/b.pdf" />'), (1, "<none/>"), (2, '<link href="x.tgz"/><link href="y.PDF"/>')]
+
+
+@query(rf"""SELECT id, nullif(regexp_extract(xml, '(?:^|\s)href="([^"\s]+\.pdf)', 1, 'i'), '') AS link FROM ({values(LINKS)}) t(id, xml)""")
 def pdf_links(spark, sf_dir):
-    rows = inline(spark, "id int, xml string", [(0, '<link format="pdf" href="ftp://a/b.pdf" />'), (1, "<none/>"), (2, '<link href="x.tgz"/><link href="y.PDF"/>')])
-    return rows.select("id", tables.pdf_link(F.col("xml")).alias("link"))
+    return inline(spark, "id int, xml string", LINKS).select("id", tables.pdf_link(F.col("xml")).alias("link"))
+
+
+@query("""SELECT array_to_string(list_sort(list(DISTINCT s)), ' ') AS sections, count(*) AS n, CAST(count(*) FILTER (s = 'UNKNOWN') AS BIGINT) AS unknown, count(*) FILTER (s = 'UNKNOWN') / count(*) AS share FROM (SELECT CASE WHEN label % 3 = 0 THEN 'UNKNOWN' ELSE 'L' || label END AS s FROM embeddings)""")
+def unknown_sections(spark, sf_dir):
+    return chunking.unknown_sections(table(spark, sf_dir, "embeddings").select(F.when(F.col("label") % 3 != 0, F.concat(F.lit("L"), "label")).alias("section")))
+
+
+@query(f"""WITH {_SIM}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cluster) AS rank FROM s), x AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY id)) / 0.07::DOUBLE) AS x FROM t WHERE rank <= 3), y AS (SELECT id, rank, cluster, round(x / (sum(x) OVER (PARTITION BY id) + 1e-12), 6) AS weight FROM x)
+    SELECT id AS place, id, string_agg(cluster || ':' || printf('%.6f', weight), ' ' ORDER BY rank) AS membership FROM y GROUP BY id""")
+def membership_report(spark, sf_dir):
+    rows, cents = labelled(spark, sf_dir)
+    return cluster.membership_report(cluster.soft_membership(rows.select("id", "vector"), cents), rows.select("id", F.col("id").alias("seen")))
+
+
+@query("SELECT source AS paper_id, min_by(lang, doc_id) AS title FROM documents WHERE source IS NOT NULL GROUP BY source")
+def first_titles(spark, sf_dir):
+    return cluster.first_titles(table(spark, sf_dir, "documents").filter("source is not null").select(F.col("source").alias("paper_id"), F.col("lang").alias("title"), F.col("doc_id").alias("gid")))
+
 
+@query(rf"""SELECT doc_id AS paper_id, string_agg(p, chr(10) || chr(10) ORDER BY page) AS text FROM (SELECT paper_id AS doc_id, page, string_agg(line, chr(10) ORDER BY line_no) AS p FROM ({_LINES}) GROUP BY 1, 2) GROUP BY 1""")
+def full_text(spark, sf_dir):
+    return sections.full_text(doc_lines(spark, sf_dir))
 
+
+def made_index(spark, sf_dir):
+    """An index of all documents in the session's shared folder, or else in the warehouse; it is made anew if the corpus has changed."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return index.build_index(doc_chunks(spark, sf_dir), f"{found.rstrip('/')}/quarry-index-{zlib.crc32(sf_dir.encode()):08x}")
+
+
+@query(f"WITH {_TOP} SELECT query_id, gid, score, CAST(pos AS INT) AS pos FROM top WHERE pos <= 120")
+def index_bm25(spark, sf_dir):
+    """The same as bm25_topk from an index that is built once and kept."""
+    return made_index(spark, sf_dir).bm25(questions(spark, sf_dir))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,17 +15,57 @@ from quarry.functions import text as T
 from quarry.operators import dense as D
 from quarry.operators import lexical as L
 
+# Fixed value: the answer without hits.
 NO_HITS = "No relevant chunks were retrieved; I don't have enough information to answer."
 
 
+_models: dict[str, object] = {}
+
+
+def model_of(name: str, load: Callable[[], object]) -> object:
+    """The model of this name in this Python worker: loaded when it is first asked for, then kept."""
+    if name not in _models:
+        _models[name] = load()
+    return _models[name]
+
+
+def lazy_model(name: str, load: Callable[[], object], run: Callable[[object, list], list], kind: str, rows: int = 32) -> Callable[..., Column]:
+    """A function of Columns that runs a model in Arrow batches: load() once a worker, run(model, inputs) for `rows` rows at a time.
+
+    inputs are the values of one Column, or tuples of the values of several; kind is the type of the result.
+    """
+
+    def apply(*columns: Column) -> Column:
+        @F.pandas_udf(kind)
+        def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                values = list(batch)
+                yield pd.Series([x for at in range(0, len(values), rows) for x in run(model_of(name, load), values[at : at + rows])], dtype=object if "array" in kind or kind == "string" else None)
+
+        @F.pandas_udf(kind)
+        def made_of_all(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for batch in batches:
+                values = list(zip(*batch, strict=True))
+                yield pd.Series([x for at in range(0, len(values), rows) for x in run(model_of(name, load), values[at : at + rows])], dtype=object if "array" in kind or kind == "string" else None)
+
+        return (made if len(columns) == 1 else made_of_all)(*columns)
+
+    return apply
+
+
 @dataclass
 class Providers:
-    """Models by name: each takes a Column and gives one. None: that step is left out, or has a plain stand-in."""
+    """Models by name: each takes Columns and gives one, lazy_model makes such. None: that step is left out, or has a plain stand-in."""
 
     embed: Callable[[Column], Column] | None = None
     rerank: Callable[[Column, Column], Column] | None = None
     generate: Callable[[Column], Column] | None = None
-    options: dict = field(default_factory=dict)
+
+    def embedder(self) -> Callable[[Column], Column]:
+        return self.embed or hashed_embedding
+
+    def generator(self) -> Callable[[Column], Column]:
+        return self.generate or extractive
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
@@ -43,15 +83,15 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return embed(T.search_tokens(text))
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, top_k: int = 8, dense_k: int = 120, bm25_k: int = 120, window: int = 1, where: Column | None = None, use_bm25: bool = True, strict_filter: bool = False, rerank: Callable[[Column, Column], Column] | None = None, weight: float = 0.7) -> DataFrame:
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, top_k: int = 8, dense_k: int = 120, bm25_k: int = 120, window: int = 1, where: Column | None = None, use_bm25: bool = True, strict_filter: bool = False, rerank: Callable[[Column, Column], Column] | None = None, weight: float = 0.7, lexical: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """query_id, rank, score, chunk_id, paper_id, title, chunk_type, page_start, page_end, section, text.
 
     chunks: gid and chunk columns; vectors: gid, vector; questions: query_id, text, vector. `where` limits
-    dense candidates only, or with strict_filter all of them.
+    dense candidates only, or with strict_filter all of them. lexical: the lexical search of a kept index.
     """
     known = chunks.drop("text").join(vectors, "gid")
     dense = D.dense_topk(known, questions, dense_k, where)
-    both = D.candidates(dense, L.bm25_topk(chunks, questions, bm25_k)) if use_bm25 else dense.select("query_id", "gid")
+    both = D.candidates(dense, lexical(questions, bm25_k) if lexical else L.bm25_topk(chunks, questions, bm25_k)) if use_bm25 else dense.select("query_id", "gid")
     wide = D.expand_neighbors(both.select("query_id", "gid"), chunks, window)
     if strict_filter and where is not None:
         wide = wide.join(chunks.filter(where).select("gid"), "gid", "left_semi")

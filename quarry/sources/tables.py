@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
@@ -31,9 +35,11 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def read_pdfs(spark: SparkSession, folder: str) -> DataFrame:
-    """path, title, paper_id, content, is_pdf of a folder's PDF files; is_pdf tells by the first four bytes."""
+    """path, title, paper_id, content, is_pdf of a folder's PDF files; is_pdf tells by the first four bytes. A folder that isn't there, or has none, is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    title = F.regexp_extract("path", r"([^/]*)$", 1)
+    if files.select("path").isEmpty():
+        raise FileNotFoundError(f"no PDF files in {folder}")
+    title = T.title_of(F.col("path"))
     return files.select("path", title.alias("title"), T.paper_id_of(title).alias("paper_id"), "content", is_pdf(F.col("content")).alias("is_pdf"))
 
 
@@ -42,21 +48,32 @@ def is_pdf(content: Column) -> Column:
 
 
 def parse_pdfs(files: DataFrame, parser, schema: str) -> DataFrame:
-    """Rows that parser (a function of bytes -> list of dicts) makes of each file, beside its paper_id. Files that it can't read make none."""
+    """Rows that parser (a function of bytes -> list of dicts) makes of each file, beside its paper_id and title. Files that it can't read make none."""
 
     def run(parts):
-        import pandas as pd
-
         for part in parts:
-            rows = []
-            for paper, content in zip(part["paper_id"], part["content"], strict=True):
+            for paper, title, content in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
-                    rows += [{"paper_id": paper} | r for r in parser(bytes(content))]
-                except ValueError:
+                    rows = [{"paper_id": paper, "title": title} | r for r in parser(content)]
+                except Exception as e:  # whatever a parser raises on a broken file
+                    print(f"{title}: {e!r}", file=sys.stderr)
                     continue
-            yield pd.DataFrame(rows, columns=StructType.fromDDL(schema).names)
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return files.filter("is_pdf").select("paper_id", "title", "content").mapInArrow(run, schema)
+
 
-    return files.filter("is_pdf").select("paper_id", "content").mapInPandas(run, schema)
+def write_parsed(rows: DataFrame, path: str) -> None:
+    """Parsed rows (paper_id, ...), a folder a paper; papers that are there are written anew, others stay."""
+    # "_" keeps ids of digits from being read back as numbers
+    rows.withColumn("_paper", F.concat(F.lit("_"), "paper_id")).repartition("_paper").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_paper").parquet(path)
+
+
+def read_parsed(spark: SparkSession, path: str, papers: list[str] | None = None) -> DataFrame:
+    """The parsed rows of all papers, or of some; of papers that aren't there, none. Only their folders are read."""
+    rows = spark.read.parquet(path)
+    return (rows.filter(F.col("_paper").isin([f"_{p}" for p in papers])) if papers is not None else rows).drop("_paper")
 
 
 def pdf_link(xml: Column) -> Column:
@@ -72,15 +89,7 @@ def new_ids(wanted: DataFrame, present: DataFrame, key: str, most: int | None =
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "gid") -> DataFrame:
-    """old with the rows of new in place of those with the same key."""
+    """old with the rows of new in place of those with the same key; of rows with one key, the one with the highest hash of its values, so that reruns agree."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return both.withColumn("_at", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_new")))).filter("_at = 1").drop("_new", "_at")
-
-
-def cached_vectors(spark: SparkSession, path: str, digest: str, build) -> DataFrame:
-    """The vectors kept under this digest (which covers model and corpus), or those that build() makes, kept from now on."""
-    at = f"{path}/digest={digest}"
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
-    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        build().write.mode("overwrite").parquet(at)
-    return spark.read.parquet(at)
+    last = F.xxhash64(*(c for c in old.columns))
+    return both.withColumn("_at", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_new"), last.desc()))).filter("_at = 1").drop("_new", "_at")
