@@ -70,5 +70,5 @@ def page_lines(words: DataFrame, page_text: DataFrame | None = None, top: float
         return lines
     bad = lines.groupBy(*PAGE).agg(F.avg(T.looks_spaced(F.col("line")).cast("double")).alias("bad"))
     judged = page_text.join(bad, PAGE, "left").filter(F.col("bad").isNull() | (F.col("bad") > worst))
-    raw = judged.select(*PAGE, F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: T.despaced_line(T.stripped(x))), lambda x: x != "")).alias("line_no", "line"))
+    raw = judged.select(*PAGE, F.posexplode(F.filter(F.transform(F.split("text", "[\r\n]"), lambda x: T.despaced_line(T.stripped(x))), lambda x: x != "")).alias("line_no", "line"))
     return lines.join(judged.select(*PAGE), PAGE, "left_anti").unionByName(raw)
