@@ -42,7 +42,7 @@ WORDS = 5
 #: Tokens counted at least so often come last, at most so many of them, the most frequent ones. Only speed depends on both.
 OFTEN, MOST_OFTEN = 16, 1 << 18
 #: Tokens whose counts a task adds up before it passes them on.
-COUNTED = 4_000_000
+COUNTED = 1_000_000
 #: Rows of so many sets or documents are broadcast at most (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Links of so many sets are connected in one task at most (32 MB); more are contracted by rounds of joins first.

@@ -43,7 +43,7 @@ FUZZY_LENGTH = 5
 #: A beginning's words are looked for at one edit if so many toxic texts have them, and a word of so many clean
 #: texts can be no misspelling: what one text has may itself be one.
 FAMILY_TEXTS = 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 50_000
 WINDOW = 3
 # Words that report or mention speech, and second persons, in the languages of the tables.
 REPORTING = frozenset("said says called calls wrote quote quoted word term dit disait mot sagte nannte wort dijo llamó palabra".split())
@@ -334,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, reportin
 
         return f
 
-    terms = map_rows(sample, [F.col("doc_id").cast("long"), F.col("toxic").cast("int"), F.col("text")], "term string, toxic int", start, rows=128)
+    terms = map_rows(sample, [F.col("doc_id").cast("long"), F.col("toxic").cast("int"), F.col("text")], "term string, toxic int", start, rows=32)
     counted = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     likely = counted.filter((F.col("a") * m >= F.col("b") * (n * LEAST_LIFT)) & (ratio_column(n, m) >= LEAST_RATIO))
     clean = {r["term"]: r["b"] for r in likely.select("term", "b").collect()}
