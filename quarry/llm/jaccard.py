@@ -488,6 +488,8 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
 
 #: Sets whose sizes differ by less than this factor are one block when lists are chosen. Only speed depends on it.
 BLOCK = 1.02
+#: With how many tokens before it a token of a list comes. Only speed depends on it.
+PREVIOUS = 4
 
 
 def least_need(n, m, percent: int):
@@ -499,24 +501,34 @@ def least_need(n, m, percent: int):
 
 
 def open_pairs(rows: DataFrame, percent: int, tested: list[DataFrame]) -> DataFrame:
-    """a, b, lead (a): all pairs of sets of different labels that may link, but for those that were looked at before.
+    """a, b, lead (a): all pairs of sets of different labels that may link, but for those that were looked at before."""
+    return not_among(met_pairs(rows, percent).distinct(), tested).withColumn("lead", F.col("a"))
 
-    Each such pair has a set whose label isn't some list's most frequent one; it looks for its partners. Of its
-    lists with sets of a size block it looks only at the shortest: a partner that is in none of them is in
-    too few of the others.
+
+def met_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: all pairs of sets of different labels that may link, some of them more than once.
+
+    Each such pair has a set whose label isn't some list's most frequent one; it looks for its partners, or the smaller
+    set does if both are such. Of its lists with sets of a size block it looks only at the shortest: a partner that is in
+    none of them is in too few of the others. Pairs that have just met in an earlier one of these lists are passed by:
+    with each token of a set come the tokens before it, so alike sets don't meet once for every token that they share.
     """
-    rows = rows.select("token", "set_id", "label", "most", "n", F.floor(F.log("n") / math.log(BLOCK)).alias("block"))
-    blocks = rows.groupBy("token", "block").agg(F.count(F.lit(1)).alias("sets"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("label_lo"), F.max("label").alias("label_hi"))
-    seekers = rows.join(rows.filter("label != most").select("set_id").distinct(), "set_id").select("token", "set_id", "label", "n")
+    block = F.floor(F.log("n") / math.log(BLOCK)).alias("block")
+    blocks = rows.groupBy("token", block).agg(F.count(F.lit(1)).alias("sets"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("label_lo"), F.max("label").alias("label_hi"))
+    before = lambda w: F.array(*(F.lag("token", k).over(w) for k in range(1, PREVIOUS + 1))).alias("before")
+    whole = W.partitionBy("set_id")
+    rows = rows.select("token", "set_id", "label", "n", "position", block, F.max(F.col("label") != F.col("most")).over(whole).alias("seeks"), before(whole.orderBy("position")))
+    seekers = rows.filter("seeks").select("token", "set_id", "label", "n", "position")
     seen = seekers.join(blocks, "token").filter((100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo")) & ((F.col("label") != F.col("label_lo")) | (F.col("label") != F.col("label_hi"))))
     own = W.partitionBy("set_id", "block")
     lo, hi = F.greatest(F.min("lo").over(own), F.col("n") * percent / 100), F.least(F.max("hi").over(own), F.col("n") * 100 / percent)
     need = F.greatest(F.lit(1), F.floor(F.least(least_need(F.col("n"), lo, percent), least_need(F.col("n"), hi, percent)) - 1e-6) + 1)
-    seen = seen.select("token", "block", F.col("set_id").alias("s"), F.col("label").alias("label_s"), F.col("n").alias("m"), need.alias("need"), F.count(F.lit(1)).over(own).alias("lists"), F.row_number().over(own.orderBy("sets", "token")).alias("place"))
-    seen = seen.filter("place <= lists - need + 1").select("token", "block", "s", "label_s", "m")
-    pairs = rows.join(seen, ["token", "block"]).filter((F.col("label") != F.col("label_s")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    pairs = pairs.select(F.least("s", "set_id").alias("a"), F.greatest("s", "set_id").alias("b")).distinct()
-    return not_among(pairs, tested).withColumn("lead", F.col("a"))
+    seen = seen.select("token", "block", "set_id", "label", "n", "position", need.alias("need"), F.count(F.lit(1)).over(own).alias("lists"), F.row_number().over(own.orderBy("sets", "token")).alias("place"))
+    seen = seen.filter("place <= lists - need + 1").select("token", "block", F.col("set_id").alias("s"), F.col("label").alias("label_s"), F.col("n").alias("m"), before(own.orderBy("position")).alias("before_s"))
+    met = F.coalesce(F.arrays_overlap("before", "before_s"), F.lit(False))
+    turn = ~F.col("seeks") | (F.struct(F.col("m").alias("n"), F.col("s").alias("id")) < F.struct("n", F.col("set_id").alias("id")))
+    pairs = rows.join(seen, ["token", "block"]).filter((F.col("label") != F.col("label_s")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & turn & ~met)
+    return pairs.select(F.least("s", "set_id").alias("a"), F.greatest("s", "set_id").alias("b"))
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = 75, bits: int = 64) -> DataFrame:

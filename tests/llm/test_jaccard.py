@@ -134,6 +134,25 @@ def test_answers_from_leaders(spark):
     jaccard.discard(*tables)
 
 
+def listed(spark, count: int, size: int, own: int, seed: int):
+    """Sets of one family, each with some tokens of its own, and the index lists of their first tokens."""
+    rng = np.random.default_rng(seed)
+    sets = {i: np.sort(np.r_[rng.permutation(size)[rng.integers(own // 8, own + 1) :], 1000 * (i + 1) + np.arange(rng.integers(own // 8, own + 1))]) for i in range(count)}
+    rows = [(int(t), i, len(x), at, i % 50) for i, x in sets.items() for at, t in enumerate(x[: jaccard.prefix_size(len(x), 75)])]
+    rows = spark.createDataFrame(rows, "token long, set_id long, n long, position long, label long")
+    return sets, rows.join(jaccard.shared_tokens(rows), "token")
+
+
+def test_alike_sets_meet_about_once(spark):
+    """Pairs that share many tokens are not made once for each, and none that links is passed by."""
+    sets, rows = listed(spark, 60, 200, 40, 5)
+    met = [tuple(r) for r in jaccard.met_pairs(rows, 75).collect()]
+    links = {(i, j) for i in sets for j in sets if i < j and i % 50 != j % 50 and 175 * len(np.intersect1d(sets[i], sets[j])) >= 75 * (len(sets[i]) + len(sets[j]))}
+    assert links and links <= set(met)
+    assert len(met) <= 3 * len(set(met))
+    assert sorted((r["a"], r["b"]) for r in jaccard.open_pairs(rows, 75, []).collect()) == sorted(set(met))
+
+
 def test_scratch_tables_go(spark):
     """Only the tables that the result reads are left, and no shuffle files setting."""
     folder = Path(shared_dir(spark).removeprefix("file:"))
