@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
-from quarry.llm.common import WORD, discard, map_rows, written
+from quarry.llm.common import WORD, discard, giving_back, map_rows, written
 
 WORDS = 5
 #: Tokens counted at least so often come last, at most so many of them, the most frequent ones. Only speed depends on both.
@@ -117,8 +117,12 @@ def measured(docs: DataFrame, words: int, bits: int = 64) -> DataFrame:
         size = 0
 
         def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            found, n = found[n > 1].view(np.int64), n[n > 1].astype(np.int64)
+            found = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()
+            found.sort()
+            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][: len(found)])
+            n = np.diff(first, append=len(found))
+            found, n = found[first[n > 1]].view(np.int64), n[n > 1].astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64())] * 5 + [pa.array(found), pa.array(n)], schema=schema)
 
         for batch in batches:
@@ -138,11 +142,11 @@ def measured(docs: DataFrame, words: int, bits: int = 64) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, text_keys, pa.array(sets, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64())] + [pa.nulls(len(sets), pa.int64())] * 2, schema=schema)
                 if size > COUNTED:
                     yield counted()
-                    held, size = [], 0
+                    size = 0
                     keys.clear()
         yield counted()
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(giving_back(run), out)
 
 
 def classes_of(known: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
@@ -211,7 +215,7 @@ def postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], clashing: f
                     n = np.repeat(np.array(sizes, np.int64), lengths)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array((block_of(n, percent, 0) << 32) + place), pa.array(n), pa.array(np.repeat(np.array(ids, np.int64), lengths))], schema=schema)
 
-    return docs.select("text").mapInArrow(run, out)
+    return docs.select("text").mapInArrow(giving_back(run), out)
 
 
 def index_lists(rows: DataFrame) -> DataFrame:
@@ -251,7 +255,7 @@ def index_lists(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, ids, n, place & 0xFFFFFFFF, *([v] for v in last[1]))], schema=schema)
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "token").sortWithinPartitions("token", "place", "set_id").mapInArrow(run, out)
+    return rows.repartition(parts, "token").sortWithinPartitions("token", "place", "set_id").mapInArrow(giving_back(run), out)
 
 
 def led(rows: DataFrame, percent: int, turn: float) -> DataFrame:
@@ -420,7 +424,7 @@ def connected(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
         nodes, label = joined(*(table.column(c).to_numpy() for c in ("a", "b")))
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], schema=schema)
 
-    labels = written(edges.select("a", "b").coalesce(1).mapInArrow(run, out), "labels")
+    labels = written(edges.select("a", "b").coalesce(1).mapInArrow(giving_back(run), out), "labels")
     discard(edges)
     for step in reversed(steps):
         passed = step.join(labels.select(F.col("set_id").alias("onto"), "label"), "onto", "left").select("set_id", F.coalesce("label", "onto").alias("label"))

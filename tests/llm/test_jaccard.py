@@ -1,5 +1,6 @@
 """The Jaccard join: large groups, equal ids, connected links, derived answers, what it leaves behind."""
 
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from test_llm import brute_components, components
 
 from quarry.llm import jaccard
-from quarry.llm.common import shared_dir
+from quarry.llm.common import giving_back, shared_dir
 
 
 def near_copies(count: int, size: int, edits: int, seed: int) -> list[str]:
@@ -153,6 +154,31 @@ def test_alike_sets_meet_about_once(spark):
     assert sorted((r["a"], r["b"]) for r in jaccard.open_pairs(rows, 75, []).collect()) == sorted(set(met))
 
 
+def test_workers_give_memory_back():
+    """What a task has freed inside the heap is no longer held once it has ended."""
+    rss = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    left = []
+
+    def run(batches):
+        held = [bytearray(b"x" * 60_000) for _ in range(4000)]
+        left.append(bytearray(b"x" * 60_000))  # above the others: the heap can't shrink by itself
+        del held
+        left.append(rss())
+        yield from batches
+
+    before = rss()
+    assert list(giving_back(run)(iter([1]))) == [1]
+    assert rss() < before + 60_000_000
+
+
+def test_counts_of_tokens(spark):
+    """Tokens of more than one set are counted once a set."""
+    texts = near_copies(50, 20, 2, 6) * 2
+    rows = jaccard.measured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), 5).filter("token is not null").collect()
+    want = Counter(t for s in {tuple(jaccard.tokens(x).view(np.int64).tolist()) for x in texts} for t in s)
+    assert {r["token"]: r["seen"] for r in rows} == {t: n for t, n in want.items() if n > 1}
+
+
 def test_scratch_tables_go(spark):
     """Only the tables that the result reads are left, and no shuffle files setting."""
     folder = Path(shared_dir(spark).removeprefix("file:"))
