@@ -339,13 +339,17 @@ class Compared:
         self.percent, self._fetch = percent, lambda ids: fetched(docs, ids, classes, clashing, words, bits)
 
     def of(self, pairs: DataFrame, linked: bool = True) -> DataFrame:
-        """pairs (a, b, lead, n_a, n_b) with common, the number of tokens that both have, as a written table; linked: only of sets that link."""
+        """pairs (a, b, lead, n_a, n_b) with common, the number of tokens that both have, as a written table; linked: only of sets that link.
+
+        The pairs are read three times, so they are written first: made once, and their shuffles are gone before sets are fetched.
+        """
+        pairs = written(pairs, "asked")
         ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         sets = self._fetch(ids)
         both = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b").join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
         both = both.select("a", "b", "lead", "n_a", "n_b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
         out = written(both.filter((100 + self.percent) * F.col("common") >= self.percent * (F.col("n_a") + F.col("n_b"))) if linked else both, "compared")
-        discard(sets)
+        discard(sets, pairs)
         return out
 
 
@@ -469,12 +473,15 @@ def linked_sets(docs: DataFrame, classes: DataFrame, clashing: frozenset[int], c
         rows = with_labels(lists, labels)
         rows = written(rows.join(shared_tokens(rows), "token"), "open-lists")
         near = led(rows, percent, (k + 1) / len(LEADERS))
-    pairs = written(alike(open_pairs(rows, percent, tested), firsts, percent), "alike")
+    seen = written(sought(rows, percent), "sought")  # a table a step: the shuffles of each are gone before the next one's
+    open_ones = written(open_pairs(rows, percent, tested, seen), "open")
+    discard(seen, rows)
+    pairs = written(alike(open_ones, firsts, percent), "alike")
     if not pairs.isEmpty():
         found, tables = derived(pairs, links, compared)
         labels = relabelled(labels, found)
         discard(*tables)
-    discard(lists, firsts, rows, pairs, *tested, *links)
+    discard(lists, firsts, open_ones, pairs, *tested, *links)
     return labels
 
 
@@ -504,12 +511,38 @@ def least_need(n, m, percent: int):
     return F.lit(float(percent)) * (n + m) / F.lit(100.0 + percent) - F.lit(float(percent)) * F.greatest(n, m) / F.lit(100.0)
 
 
-def open_pairs(rows: DataFrame, percent: int, tested: list[DataFrame]) -> DataFrame:
-    """a, b, lead (a): all pairs of sets of different labels that may link, but for those that were looked at before."""
-    return not_among(met_pairs(rows, percent).distinct(), tested).withColumn("lead", F.col("a"))
+def open_pairs(rows: DataFrame, percent: int, tested: list[DataFrame], seen: DataFrame | None = None) -> DataFrame:
+    """a, b, lead (a): all pairs of sets of different labels that may link, but for those that were looked at before. seen: sought's answer, if it is there already."""
+    return not_among(met_pairs(rows, percent, seen).distinct(), tested).withColumn("lead", F.col("a"))
+
+
+def size_block():
+    return F.floor(F.log("n") / math.log(BLOCK)).alias("block")
+
+
+def seeks(whole):
+    """Whether a set's label isn't the most frequent one of some list that it is in; whole: a window of its rows."""
+    return F.max(F.col("label") != F.col("most")).over(whole).alias("seeks")
 
 
-def met_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def before(window):
+    """The tokens before this one."""
+    return F.array(*(F.lag("token", k).over(window) for k in range(1, PREVIOUS + 1)))
+
+
+def sought(rows: DataFrame, percent: int) -> DataFrame:
+    """token, block, s, label_s, m, before_s: in which lists, and at which size blocks of them, a set s of size m looks for its partners."""
+    blocks = rows.groupBy("token", size_block()).agg(F.count(F.lit(1)).alias("sets"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("label_lo"), F.max("label").alias("label_hi"))
+    seekers = rows.select("token", "set_id", "label", "n", "position", seeks(W.partitionBy("set_id"))).filter("seeks").drop("seeks")
+    seen = seekers.join(blocks, "token").filter((100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo")) & ((F.col("label") != F.col("label_lo")) | (F.col("label") != F.col("label_hi"))))
+    own = W.partitionBy("set_id", "block")
+    lo, hi = F.greatest(F.min("lo").over(own), F.col("n") * percent / 100), F.least(F.max("hi").over(own), F.col("n") * 100 / percent)
+    need = F.greatest(F.lit(1), F.floor(F.least(least_need(F.col("n"), lo, percent), least_need(F.col("n"), hi, percent)) - 1e-6) + 1)
+    seen = seen.select("token", "block", "set_id", "label", "n", "position", need.alias("need"), F.count(F.lit(1)).over(own).alias("lists"), F.row_number().over(own.orderBy("sets", "token")).alias("place"))
+    return seen.filter("place <= lists - need + 1").select("token", "block", F.col("set_id").alias("s"), F.col("label").alias("label_s"), F.col("n").alias("m"), before(own.orderBy("position")).alias("before_s"))
+
+
+def met_pairs(rows: DataFrame, percent: int, seen: DataFrame | None = None) -> DataFrame:
     """a, b: all pairs of sets of different labels that may link, some of them more than once.
 
     Each such pair has a set whose label isn't some list's most frequent one; it looks for its partners, or the smaller
@@ -517,18 +550,9 @@ def met_pairs(rows: DataFrame, percent: int) -> DataFrame:
     none of them is in too few of the others. Pairs that have just met in an earlier one of these lists are passed by:
     with each token of a set come the tokens before it, so alike sets don't meet once for every token that they share.
     """
-    block = F.floor(F.log("n") / math.log(BLOCK)).alias("block")
-    blocks = rows.groupBy("token", block).agg(F.count(F.lit(1)).alias("sets"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("label_lo"), F.max("label").alias("label_hi"))
-    before = lambda w: F.array(*(F.lag("token", k).over(w) for k in range(1, PREVIOUS + 1))).alias("before")
     whole = W.partitionBy("set_id")
-    rows = rows.select("token", "set_id", "label", "n", "position", block, F.max(F.col("label") != F.col("most")).over(whole).alias("seeks"), before(whole.orderBy("position")))
-    seekers = rows.filter("seeks").select("token", "set_id", "label", "n", "position")
-    seen = seekers.join(blocks, "token").filter((100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo")) & ((F.col("label") != F.col("label_lo")) | (F.col("label") != F.col("label_hi"))))
-    own = W.partitionBy("set_id", "block")
-    lo, hi = F.greatest(F.min("lo").over(own), F.col("n") * percent / 100), F.least(F.max("hi").over(own), F.col("n") * 100 / percent)
-    need = F.greatest(F.lit(1), F.floor(F.least(least_need(F.col("n"), lo, percent), least_need(F.col("n"), hi, percent)) - 1e-6) + 1)
-    seen = seen.select("token", "block", "set_id", "label", "n", "position", need.alias("need"), F.count(F.lit(1)).over(own).alias("lists"), F.row_number().over(own.orderBy("sets", "token")).alias("place"))
-    seen = seen.filter("place <= lists - need + 1").select("token", "block", F.col("set_id").alias("s"), F.col("label").alias("label_s"), F.col("n").alias("m"), before(own.orderBy("position")).alias("before_s"))
+    seen = sought(rows, percent) if seen is None else seen
+    rows = rows.select("token", "set_id", "label", "n", size_block(), seeks(whole), before(whole.orderBy("position")).alias("before"))
     met = F.coalesce(F.arrays_overlap("before", "before_s"), F.lit(False))
     turn = ~F.col("seeks") | (F.struct(F.col("m").alias("n"), F.col("s").alias("id")) < F.struct("n", F.col("set_id").alias("id")))
     pairs = rows.join(seen, ["token", "block"]).filter((F.col("label") != F.col("label_s")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & turn & ~met)

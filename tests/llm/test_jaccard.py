@@ -154,6 +154,32 @@ def test_alike_sets_meet_about_once(spark):
     assert sorted((r["a"], r["b"]) for r in jaccard.open_pairs(rows, 75, []).collect()) == sorted(set(met))
 
 
+def test_no_step_shuffles_much(spark, monkeypatch):
+    """A step's shuffle files are all on disk until its table is written; no step has much more of them than the index lists have."""
+    sc, shuffled, threshold = spark.sparkContext._jsc.sc(), [], "spark.sql.autoBroadcastJoinThreshold"
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, quantiles, None)
+        return {x.stageId(): x.shuffleWriteBytes() for x in map(found.apply, range(found.size()))}
+
+    def watched(df, name, write=jaccard.written):
+        before, out = stages(), write(df, name)
+        shuffled.append((name, sum(n for k, n in stages().items() if k not in before)))
+        return out
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    texts = [x for seed in range(20) for x in near_copies(60, 200, 12, seed)]
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        jaccard.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set(threshold, before)
+    assert max(n for _, n in shuffled) <= 1.4 * dict(shuffled)["lists"], shuffled
+
+
 def test_workers_give_memory_back():
     """What a task has freed inside the heap is no longer held once it has ended."""
     rss = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
