@@ -9,14 +9,15 @@ from pyspark.sql.window import Window as W
 from quarry.functions import text as T
 
 
-def chunk_segments(segments: DataFrame, max_words: int = 450, overlap: int = 4, trim_tails: bool = False) -> DataFrame:
+def chunk_segments(segments: DataFrame, max_words: int = 450, overlap: int = 4, trim_tails: bool = False, despace: bool = True) -> DataFrame:
     """Chunks of segments (paper_id, title, seg_idx, section, text, page_start, page_end).
 
     A chunk takes sentences while they hold at most max_words words, one at least. The next one starts
     `overlap` sentences before its end; trim_tails leaves out those that lie in a chunk's tail. Where a
-    chunk ends depends only on where it starts, by prefix sums; a fold follows the starts.
+    chunk ends depends only on where it starts, by prefix sums; a fold follows the starts. Texts that
+    begin in spaced letters are despaced first, unless despace is false.
     """
-    text = F.when(T.looks_spaced(F.substring("text", 1, 500)), T.despaced(F.col("text"))).otherwise(F.col("text"))
+    text = F.when(T.looks_spaced(F.substring("text", 1, 500)), T.despaced(F.col("text"))).otherwise(F.col("text")) if despace else F.col("text")
     rows = segments.withColumn("sents", T.sentences(text)).withColumn("n", F.size("sents"))
     sums = F.aggregate(F.col("sents"), F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + F.size(F.split(s, " ")))))
     rows = rows.filter("n > 0").withColumn("sums", sums)
