@@ -20,3 +20,10 @@ def differing(spark, name: str, folder, **tables) -> list:
 def test_chunks_of_spaced_letters(spark, tmp_path):
     docs = [(0, "Ö " * 300 + "word " * 20 + "End. Next one.", "de", "a"), (1, "Plain text. And more.", "en", "a")]
     assert differing(spark, "chunks", tmp_path, documents=spark.createDataFrame(docs, DOCUMENTS)) == []
+
+
+def test_keywords_count_all_terms(spark, tmp_path):
+    """60,000 terms in a group, each twice as often as those that follow the cut of the vectoriser."""
+    often = " . ".join(f"often{i}" for i in range(26_000))
+    docs = [(i, f"{often} {often}", "en", "a") for i in (0, 1)] + [(i, " ".join(f"rare{j}" for j in range(3_000)), "en", "a") for i in (2, 3)]
+    assert differing(spark, "keywords", tmp_path, documents=spark.createDataFrame(docs, DOCUMENTS)) == []
