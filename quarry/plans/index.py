@@ -16,6 +16,10 @@ from quarry.operators import chunking, lexical
 from quarry.plans import search
 
 
+#: What the tables look like; an index of another form is built anew.
+FORMAT = "postings in arrays"
+
+
 @dataclass
 class Index:
     """The tables of a built index."""
@@ -53,6 +57,7 @@ def build_index(chunks: DataFrame, path: str, embed: Callable[[Column], Column]
     it was made from comes last, so that half an index is never taken for one.
     """
     spark = chunks.sparkSession
+    model = f"{model}, {FORMAT}"
     digest = chunking.corpus_digest(chunks, model)
     if not recreate and collection_exists(spark, path):
         kept, now = spark.read.parquet(f"{path}/meta").first(), digest.first()
@@ -65,8 +70,9 @@ def build_index(chunks: DataFrame, path: str, embed: Callable[[Column], Column]
     held = spark.read.parquet(f"{path}/chunks")
     write(held.select("gid", (embed or search.hashed_embedding)(F.col("text")).alias("vector")), "vectors")
     write(lexical.postings(held), "postings")
-    write(lexical.vocabulary(spark.read.parquet(f"{path}/postings")), "vocabulary")
-    write(lexical.corpus_stats(held, spark.read.parquet(f"{path}/vocabulary")), "stats")
+    kept = spark.read.parquet(f"{path}/postings")
+    write(lexical.vocabulary(kept), "vocabulary")
+    write(lexical.corpus_stats(kept), "stats")
     write(chunking.corpus_digest(held, model), "meta")
     return open_index(spark, path)
 

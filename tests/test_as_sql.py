@@ -2,6 +2,8 @@
 
 import duckdb
 
+from quarry.operators import lexical
+from quarry.plans import queries
 from quarry.plans.queries import QUERIES, SQL
 
 DOCUMENTS = "doc_id long, text string, lang string, source string"
@@ -27,3 +29,35 @@ def test_keywords_count_all_terms(spark, tmp_path):
     often = " . ".join(f"often{i}" for i in range(26_000))
     docs = [(i, f"{often} {often}", "en", "a") for i in (0, 1)] + [(i, " ".join(f"rare{j}" for j in range(3_000)), "en", "a") for i in (2, 3)]
     assert differing(spark, "keywords", tmp_path, documents=spark.createDataFrame(docs, DOCUMENTS)) == []
+
+
+ASKED = [(0, "alpha beta beta"), (1, "common"), (2, ""), (3, None), (4, "nowhere at-all"), (5, "ALPHA common gamma"), (6, "delta"), (7, "word7 word9 Δ")]
+
+
+def searched(spark):
+    """Documents with copies beyond the 120 that are kept, long, empty and null ones, and questions."""
+    docs = [(i, f"alpha beta word{i % 10} common", "en", "a") for i in range(400)] + [(400 + i, "gamma " * (i + 1) + "delta Δ common", "en", "b") for i in range(150)]
+    docs += [(900, None, "en", "a"), (901, "", "en", "a"), (902, " ?! ", "en", "a")]
+    return spark.createDataFrame(docs, DOCUMENTS).repartition(7), spark.createDataFrame(ASKED, "item_id long, text string")
+
+
+def test_bm25_in_small_blocks(spark, tmp_path, monkeypatch):
+    for name, value in (("BLOCK", 3), ("DOCUMENTS", 16), ("QUESTIONS", 2)):
+        monkeypatch.setattr(lexical, name, value)
+    docs, asked = searched(spark)
+    assert differing(spark, "bm25_topk", tmp_path, documents=docs, benchmark=asked) == []
+
+
+def test_bm25_moves_no_postings(spark, tmp_path):
+    """Only each task's best meet by question; documents and their tokens stay where they are read."""
+    docs, asked = searched(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    asked.write.parquet(f"{tmp_path}/benchmark.parquet")
+    plan = queries.bm25_topk(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    assert dealt and all("hashpartitioning(query_id" in line for line in dealt), dealt
+
+
+def test_bm25_without_documents(spark, tmp_path):
+    docs, asked = searched(spark)
+    assert differing(spark, "bm25_topk", tmp_path, documents=docs.filter("false"), benchmark=asked) == []
