@@ -1,11 +1,13 @@
 """Queries against their SQL on hand-made tables that the given ones don't have at their smallest size."""
 
 import duckdb
+import pytest
 
-from quarry.operators import lexical
-from quarry.plans import queries
+from quarry.operators import chunking, lexical
+from quarry.plans import index, queries
 from quarry.plans.queries import QUERIES, SQL
 
+SF = "/root/testdata/sf0.001"
 DOCUMENTS = "doc_id long, text string, lang string, source string"
 
 
@@ -61,3 +63,28 @@ def test_bm25_moves_no_postings(spark, tmp_path):
 def test_bm25_without_documents(spark, tmp_path):
     docs, asked = searched(spark)
     assert differing(spark, "bm25_topk", tmp_path, documents=docs.filter("false"), benchmark=asked) == []
+
+
+def joins(spark, name: str, folder) -> list[str]:
+    """The joins in a query's plan, the last one first, if no table is small enough to be sent unasked."""
+    docs, asked = searched(spark)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    asked.write.parquet(f"{folder}/benchmark.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return [line for line in plan.splitlines() if "Join" in line]
+
+
+def test_prompt_leaves_texts_in_place(spark, tmp_path):
+    found = joins(spark, "prompt", tmp_path)
+    assert any("BroadcastHashJoin [gid" in j for j in found) and not any("SortMergeJoin [gid" in j for j in found), found
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "answer"])
+def test_hybrid_search_leaves_texts_in_place(spark, tmp_path, name):
+    """The chosen hits go to the texts, and the candidates to the vectors; only vectors and ids of chunks are joined by a shuffle."""
+    found = [j for j in joins(spark, name, tmp_path) if "[gid" in j]
+    assert "BroadcastHashJoin [gid" in found[0] and "BroadcastHashJoin [gid" in found[1], found
