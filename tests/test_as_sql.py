@@ -88,3 +88,9 @@ def test_hybrid_search_leaves_texts_in_place(spark, tmp_path, name):
     """The chosen hits go to the texts, and the candidates to the vectors; only vectors and ids of chunks are joined by a shuffle."""
     found = [j for j in joins(spark, name, tmp_path) if "[gid" in j]
     assert "BroadcastHashJoin [gid" in found[0] and "BroadcastHashJoin [gid" in found[1], found
+
+
+def test_hybrid_candidates_in_small_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK", 3)
+    docs, asked = searched(spark)
+    assert differing(spark, "hybrid_candidates", tmp_path, documents=docs, benchmark=asked) == []
