@@ -94,3 +94,14 @@ def test_hybrid_candidates_in_small_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK", 3)
     docs, asked = searched(spark)
     assert differing(spark, "hybrid_candidates", tmp_path, documents=docs, benchmark=asked) == []
+
+
+def test_an_index_of_another_form_is_built_anew(spark, tmp_path):
+    chunks = queries.doc_chunks(spark, SF)
+    at = str(tmp_path / "index")
+    index.build_index(chunks, at)
+    asked = queries.questions(spark, SF)
+    want = sorted(map(tuple, index.open_index(spark, at).bm25(asked).collect()))
+    spark.read.parquet(f"{at}/chunks").selectExpr("gid", "1 as dl", "text as token", "1L as tf").write.mode("overwrite").parquet(f"{at}/postings")
+    chunking.corpus_digest(chunks, "hashed-64").write.mode("overwrite").parquet(f"{at}/meta")
+    assert sorted(map(tuple, index.build_index(chunks, at).bm25(asked).collect())) == want
